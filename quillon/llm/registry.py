@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, token_files
+from . import bpe, exact_dedup, mixing, token_files
 
 
 def queries() -> dict:
-    return {"op7_bpe": bpe.op7_bpe, "op8_token_files": token_files.op8_token_files, "op10_mixing": mixing.op10_mixing}
+    return {"op3_exact_dedup": exact_dedup.op3_exact_dedup, "op7_bpe": bpe.op7_bpe, "op8_token_files": token_files.op8_token_files, "op10_mixing": mixing.op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
     """Tokenizers have no SQL: their tests hold them against the libraries."""
-    return {"op10_mixing": mixing.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
