@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, token_files
+from . import bpe, exact_dedup, license_scan, mixing, secrets_scan, token_files
 
 
 def queries() -> dict:
-    return {"op3_exact_dedup": exact_dedup.op3_exact_dedup, "op7_bpe": bpe.op7_bpe, "op8_token_files": token_files.op8_token_files, "op10_mixing": mixing.op10_mixing}
+    return {
+        "op2_license_scan": license_scan.op2_license_scan,
+        "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_secret_scan": secrets_scan.op4_secret_scan,
+        "op7_bpe": bpe.op7_bpe,
+        "op8_token_files": token_files.op8_token_files,
+        "op10_mixing": mixing.op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
