@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, mixing, secrets_scan, token_files
+from . import bpe, exact_dedup, language_id, license_scan, mixing, quality, secrets_scan, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_secret_scan": secrets_scan.op4_secret_scan,
+        "op5_language_id": language_id.op5_language_id,
+        "op6_quality": quality.op6_quality,
         "op7_bpe": bpe.op7_bpe,
         "op8_token_files": token_files.op8_token_files,
         "op10_mixing": mixing.op10_mixing,
