@@ -16,6 +16,18 @@ RUN = re.compile(r"\s (?:\s|\Z)")
 CUT = re.compile(r"(?<!\s)(?= )|(?= \S)")
 
 
+#: Caches of this worker process, which outlive a task: (kind, digest of the vocabulary) -> cache.
+KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What make() gave this worker for the key before, else a new one.  A worker keeps one at a time."""
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = make()
+    return KEPT[key]
+
+
 class PieceCache:
     """Text -> payload bytes, by parts.  encode(list of parts) -> list of bytes; keep: parts remembered at most."""
 

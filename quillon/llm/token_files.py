@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, scratch, text_of, tokenizer_file, written
-from .pieces import PieceCache
+from .pieces import PieceCache, kept
 
 END = 0
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -188,7 +188,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int = END, wide
         name = f"part-{shard:05d}-{uuid.uuid4().hex[:12]}"
         for b in batches:
             if cache is None:
-                cache = PieceCache(library_encoder(spec.value, wide))
+                cache = kept(("ids", wide, zlib.crc32(spec.value.encode())), lambda: PieceCache(library_encoder(spec.value, wide)))
                 writer = ShardWriter(folder, name, wide)
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 writer.add(doc_id, cache(text) + stop)
