@@ -214,7 +214,8 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
                 crc = [zlib.crc32(s.payload(o, n).astype("<u4").tobytes()) for o, n in zip(offset.tolist(), length.tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(s.doc_ids, pa.int64()), "start": pa.array(offset + shard["first"]), "n_tokens": pa.array(length), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return manifest.repartition("name").mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A count of its own, so that adaptive execution does not put these few but heavy rows into one task.
+    return manifest.repartition(max(1, manifest.count()), "name").mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
