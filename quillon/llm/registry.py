@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, license_scan, mixing, quality, secrets_scan, token_files
+from . import bpe, exact_dedup, language_id, license_scan, mixing, quality, secrets_scan, token_files, topk_search
 
 
 def queries() -> dict:
@@ -14,10 +14,11 @@ def queries() -> dict:
         "op6_quality": quality.op6_quality,
         "op7_bpe": bpe.op7_bpe,
         "op8_token_files": token_files.op8_token_files,
+        "op9_topk_search": topk_search.op9_topk_search,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Tokenizers have no SQL: their tests hold them against the libraries."""
-    return {"op3_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op9_topk_search": topk_search.SQL, "op10_mixing": mixing.SQL}
