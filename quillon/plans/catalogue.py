@@ -68,22 +68,22 @@ query("n5_dotted", f"SELECT entity_id, {duck.collapse('lower(business_address)')
 query("n6_legal_map", f"SELECT entity_id, {duck.mapped('lower(business_name)', dict.fromkeys(V.LEGAL_FORMS, 'corp'))} AS mapped FROM ent")(lambda x: x.ent.select("entity_id", T.mapped(F.lower("business_name"), dict.fromkeys(V.LEGAL_FORMS, "corp")).alias("mapped")))
 query("n7_addr_map", f"SELECT entity_id, {duck.mapped('lower(business_address)', V.ADDRESS_MAP)} AS mapped FROM ent")(lambda x: x.ent.select("entity_id", T.mapped(F.lower("business_address"), V.ADDRESS_MAP).alias("mapped")))
 for _name, _spark, _sql in (
-    ("n4_normalize_name", F.col("norm_name"), "norm_name"),
-    ("n4_normalize_address", F.col("norm_address"), "norm_address"),
-    ("n8_sig_tokens", listed("sig_tokens"), "array_to_string(sig_tokens, '|')"),
-    ("n9_strip_legal", F.col("stripped_name"), "stripped_name"),
-    ("n10_acronyms", listed("acronyms"), "array_to_string(acronyms, '|')"),
-    ("n12_phonetic", listed("phonetic"), "array_to_string(phonetic, '|')"),
-    ("n13_compact_brand", F.col("compact_brand"), "compact_brand"),
-    ("n14_unit_keys", listed("unit_keys"), "array_to_string(unit_keys, '|')"),
-    ("n15_parse_addr", F.concat_ws("|", "parsed.number", "parsed.postcode", "parsed.street", "parsed.locality", listed("parsed.loc_tokens")), "concat_ws('|', number, postcode, street, locality, array_to_string(loc_tokens, '|'))"),
-    ("n16_addr_tokens", listed("addr_tokens"), "array_to_string(addr_tokens, '|')"),
-    ("n17_addr_numbers", listed("addr_nums"), "array_to_string(addr_nums, '|')"),
-    ("n18_house_codes", listed("house_codes"), "array_to_string(house_codes, '|')"),
-    ("n19_char3", listed("c3_name"), "array_to_string(c3_name, '|')"),
-    ("n21_prefix", T.prefix_key(F.col("norm_name")), "CASE WHEN length(norm_name) >= 3 THEN norm_name[1:3] ELSE '' END"),
+    ("n4_normalize_name", lambda: F.col("norm_name"), "norm_name"),
+    ("n4_normalize_address", lambda: F.col("norm_address"), "norm_address"),
+    ("n8_sig_tokens", lambda: listed("sig_tokens"), "array_to_string(sig_tokens, '|')"),
+    ("n9_strip_legal", lambda: F.col("stripped_name"), "stripped_name"),
+    ("n10_acronyms", lambda: listed("acronyms"), "array_to_string(acronyms, '|')"),
+    ("n12_phonetic", lambda: listed("phonetic"), "array_to_string(phonetic, '|')"),
+    ("n13_compact_brand", lambda: F.col("compact_brand"), "compact_brand"),
+    ("n14_unit_keys", lambda: listed("unit_keys"), "array_to_string(unit_keys, '|')"),
+    ("n15_parse_addr", lambda: F.concat_ws("|", "parsed.number", "parsed.postcode", "parsed.street", "parsed.locality", listed("parsed.loc_tokens")), "concat_ws('|', number, postcode, street, locality, array_to_string(loc_tokens, '|'))"),
+    ("n16_addr_tokens", lambda: listed("addr_tokens"), "array_to_string(addr_tokens, '|')"),
+    ("n17_addr_numbers", lambda: listed("addr_nums"), "array_to_string(addr_nums, '|')"),
+    ("n18_house_codes", lambda: listed("house_codes"), "array_to_string(house_codes, '|')"),
+    ("n19_char3", lambda: listed("c3_name"), "array_to_string(c3_name, '|')"),
+    ("n21_prefix", lambda: T.prefix_key(F.col("norm_name")), "CASE WHEN length(norm_name) >= 3 THEN norm_name[1:3] ELSE '' END"),
 ):
-    query(_name, f"SELECT entity_id, {_sql} AS value FROM rec")(lambda x, c=_spark: x.rec.select("entity_id", c.alias("value")))
+    query(_name, f"SELECT entity_id, {_sql} AS value FROM rec")(lambda x, c=_spark: x.rec.select("entity_id", c().alias("value")))
 query("n11_skeleton", f", w AS (SELECT DISTINCT unnest(string_split_regex(trim(lower(p_name)), '\\s+')) AS word FROM part) SELECT word, {duck.skeleton('word')} AS value FROM w")(lambda x: x.spark.read.parquet(f"{x.sf_dir}/part.parquet").select(F.explode(F.split(F.trim(F.lower("p_name")), r"\s+")).alias("word")).distinct().select("word", T.skeleton(F.col("word")).alias("value")))
 query("n20_record", "SELECT entity_id, norm_name, norm_address, array_to_string(sig_tokens, '|') AS tokens, number, locality FROM rec WHERE source = 'S1'")(lambda x: x.s1.select("entity_id", "norm_name", "norm_address", listed("sig_tokens").alias("tokens"), F.col("parsed.number").alias("number"), F.col("parsed.locality").alias("locality")))
 query("n23_has_indic", "RAW SELECT doc_id, regexp_matches(coalesce(text, ''), '[ऀ-ൿ]') AS indic FROM documents")(lambda x: x.spark.read.parquet(f"{x.sf_dir}/documents.parquet").select("doc_id", T.has_indic("text").alias("indic")))
