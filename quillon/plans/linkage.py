@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocking, features, model, records, resolve, sampling
-from ..sources import fixture, readers
+from ..sources import fixture, readers, staging
 from ..sources.sinks import match_rows
 
 CAPS = {"P": 80, "AT": 150, "default": 100}
@@ -35,7 +35,7 @@ class Linkage:
 
     @functools.cached_property
     def rec(self) -> DataFrame:
-        return records.derive(self.ent, ascii_only=True)
+        return staging.staged(self.spark, ("records", self.sf_dir), lambda: records.derive(self.ent, ascii_only=True))
 
     @property
     def s1(self) -> DataFrame:
