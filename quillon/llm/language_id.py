@@ -10,64 +10,79 @@ each task counts n-grams before anything is shuffled.  Languages x TOP n-grams g
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, text_of
 
-#: Documents of each language that profiles are learnt from, n-grams in a profile, longest n-gram.
-SAMPLE, TOP, LONGEST = 2000, 300, 3
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Documents of each language that profiles are learnt from, n-grams in a profile, characters looked at together.
+SAMPLE, TOP, PORTION = 2000, 300, 1_000_000
+EDGE = ord("_")
+_letters = []
 
 
-class Counts:
-    """n-gram counts of texts; n-grams of words that were seen are remembered."""
+def is_letter() -> np.ndarray:
+    if not _letters:
+        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _letters[0]
 
-    def __init__(self, keep: int = 200_000):
-        self.keep, self.seen = keep, {}
 
-    def grams(self, token: str) -> tuple[str, ...]:
-        out = []
-        for word in LETTERS.findall(token):
-            padded = f"_{word}_"
-            out += [padded[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1)]
-        return tuple(g for g in out if g != "_")
+def portions(text: str):
+    """The text in parts that end at a space where there is one."""
+    while len(text) > PORTION:
+        at = text.rfind(" ", 1, PORTION) if " " in text[1:PORTION] else PORTION
+        yield text[:at]
+        text = text[at:]
+    yield text
 
-    def __call__(self, text: str, into: dict[str, int] | None = None) -> dict[str, int]:
-        total = defaultdict(int) if into is None else into
-        for token, n in Counter(text.lower().split()).items():
-            grams = self.seen.get(token)
-            if grams is None:
-                grams = self.grams(token)
-                if len(self.seen) >= self.keep:
-                    self.seen.clear()
-                if len(token) <= 40:
-                    self.seen[token] = grams
-            for g in grams:
-                total[g] += n
-        return total
 
+def added(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams and the sums of their counts."""
+    g, where = np.unique(np.concatenate(grams), return_inverse=True)
+    return g, np.bincount(where, weights=np.concatenate(counts), minlength=len(g)).astype(np.int64)
 
-def ranked(counts: dict[str, int]) -> list[str]:
+
+def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams of a text and their counts.  An n-gram is one number, 21 bits a code point, so numbers sort as the
+    strings do; _ stands for either end of a word."""
+    parts = []
+    for part in portions(text.lower()):
+        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        letter = is_letter()[c]
+        c = np.where(letter, c, EDGE)
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]  # one edge behind each word
+        c = np.concatenate([[EDGE], c[keep], [EDGE]])
+        inside = c != EDGE
+        two = (c[:-1] << 42) | (c[1:] << 21)
+        parts += [c[inside] << 42, two[inside[:-1] | inside[1:]], (two[:-1] | c[2:])[inside[1:-1]]]
+    return np.unique(np.concatenate(parts), return_counts=True)
+
+
+def ranked(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The most frequent n-grams, ties by code point."""
-    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:TOP]]
+    return grams[np.argsort(-counts, kind="stable")[:TOP]]
 
 
-def predict(counts: dict[str, int], profiles: dict[str, dict[str, int]]) -> tuple[str, float]:
-    """The nearest language (ties: the first by code point) and how near it is, from 0 to 1."""
-    own = ranked(counts)
-    if not own or not profiles:
+def predict(text: str, profiles: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[str, float]:
+    """The nearest language (ties: the first by code point) and how near it is, from 0 to 1.  A profile is its n-grams
+    in order of code points, and their places."""
+    own = ranked(*count_grams(text))
+    if not len(own) or not profiles:
         return "und", 0.0
-    ranks = range(len(own))
-    best, lang = min((sum(TOP if (at := places.get(g)) is None else abs(at - r) for g, r in zip(own, ranks)), lang) for lang, places in profiles.items())
-    return lang, 1.0 - best / (TOP * len(own))
+    at, best = np.arange(len(own)), []
+    for lang, (grams, places) in profiles.items():
+        i = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        best.append((int(np.where(grams[i] == own, np.abs(places[i] - at), TOP).sum()), lang))
+    far, lang = min(best)
+    return lang, 1.0 - far / (TOP * len(own))
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, dict[str, int]]:
+def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """doc_id, text, lang -> profiles.  Rows without lang or text teach nothing."""
     spark = labelled.sparkSession
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -75,24 +90,25 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, dict[str, int]
     chosen = labelled.select("doc_id", "text", F.col("lang").alias("_lang")).join(F.broadcast(ids.select("doc_id", "lang").distinct()), "doc_id", "left_semi")
 
     def task(batches):
-        count, totals = Counts(), defaultdict(lambda: defaultdict(int))
         for b in batches:
+            totals: dict[str, list] = defaultdict(list)
             for text, lang in zip(b.column("text").to_pylist(), b.column("_lang").to_pylist()):
                 if text and lang is not None:
-                    count(text, totals[lang])
-        rows = [(lang, g, n) for lang, total in totals.items() for g, n in total.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
+                    totals[lang].append(count_grams(text))
+            for lang, found in totals.items():
+                g, n = added(*zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], names=["lang", "gram", "n"])
 
-    counts = chosen.mapInArrow(task, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TOP)
-    profiles: dict[str, dict[str, int]] = defaultdict(dict)
+    rows: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for r in top.select("lang", "gram", "place").collect():  # TOP rows a language
-        profiles[r.lang][r.gram] = r.place - 1
-    return dict(profiles)
+        rows[r.lang].append((r.gram, r.place - 1))
+    return {lang: tuple(np.array(x, np.int64) for x in zip(*sorted(own))) for lang, own in rows.items()}
 
 
-def identify(docs: DataFrame, profiles: dict[str, dict[str, int]]) -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """docs with lang_pred and score (0 to 1).
 
     Null texts and texts without a letter are `und` with score 0; nothing but the text is looked at; repeated rows get the
@@ -103,9 +119,8 @@ def identify(docs: DataFrame, profiles: dict[str, dict[str, int]]) -> DataFrame:
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["lang_pred string, score double"])
 
     def task(batches):
-        count = Counts()
         for b in batches:
-            found = [predict(count(t or ""), shared.value) for t in b.column("text").to_pylist()]
+            found = [predict(t or "", shared.value) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return docs.mapInArrow(task, out)
