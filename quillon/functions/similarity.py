@@ -86,7 +86,7 @@ def jaro_winkler_value(a: str, b: str, weight: float = 0.1) -> float:
     m = len(left)
     if not m:
         return 0.0
-    swapped = sum(x != y for x, y in zip(left, (ch for ch, u in zip(b, used) if u))) / 2
+    swapped = sum(x != y for x, y in zip(left, (ch for ch, u in zip(b, used) if u))) // 2
     jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
     same = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
     return jaro + same * weight * (1 - jaro) if jaro > 0.7 else jaro

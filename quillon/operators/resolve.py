@@ -46,9 +46,9 @@ def resolve_margin(scored: DataFrame, primary_t: float = 0.40, secondary_t: floa
     best score, which counts even where that candidate was lost."""
     own = scored.where(F.col("p") >= primary_t)
     w = Window.partitionBy("s1_id")
-    own = own.withColumn("_top", F.max("p").over(w)).withColumn("_nth", F.row_number().over(w.orderBy(F.desc("p"), "cid")))
-    won = winners(own).where((F.col("_nth") == 1) | ((F.col("p") >= min(secondary_t, 1.0)) & (F.round(F.col("_top") - F.col("p"), 9) <= margin)))
-    return ranked(won.drop("_top", "_nth"), None)
+    own = own.withColumn("_top", F.max("p").over(w)).withColumn("_place", F.row_number().over(w.orderBy(F.desc("p"), "cid")))
+    won = winners(own).where((F.col("_place") == 1) | ((F.col("p") >= min(secondary_t, 1.0)) & (F.round(F.col("_top") - F.col("p"), 9) <= margin)))
+    return ranked(won.drop("_top", "_place"), None)
 
 
 def pairwise(scored: DataFrame, t: float) -> DataFrame:

@@ -197,7 +197,7 @@ query("a4_macro_prf", "SELECT count(*) AS n, round(avg(f05), 6) AS macro_f05, ro
 query("a5_country_rollup", "SELECT country, count(*) AS n, round(avg(f05), 6) AS macro_f05 FROM fs GROUP BY ROLLUP (country)")(lambda x: metrics.macro_by_country(_scores(x)))
 query("a8_describe", ", c AS (SELECT s1_id, count(*) AS n FROM cand GROUP BY 1) SELECT count(*) AS n_records, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n) AS least, round(quantile_cont(n, 0.25), 6) AS q1, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.75), 6) AS q3, max(n) AS most FROM c")(lambda x: metrics.describe_counts(x.pairs))
 _TS = [0.3, 0.4, 0.5, 0.6]
-query("a9_threshold_sweep", ", ts AS (SELECT unnest([0.3, 0.4, 0.5, 0.6]::DOUBLE[]) AS t), at AS (SELECT t, s1_id, cid, p FROM sc, ts WHERE p >= t), w AS (SELECT *, row_number() OVER (PARTITION BY t, cid ORDER BY p DESC, s1_id) AS k FROM at), m AS (SELECT *, row_number() OVER (PARTITION BY t, s1_id ORDER BY p DESC, cid) AS j FROM w WHERE k = 1), sd AS (SELECT m.t, m.s1_id, count(*) AS np, count(tp.cid) AS ok FROM m LEFT JOIN tp ON m.s1_id = tp.s1_id AND m.cid = tp.cid WHERE j <= 12 GROUP BY 1, 2), z AS (SELECT ts.t, s1.s1_id, coalesce(np, 0) AS np, coalesce(ok, 0) AS ok, coalesce(n_true, 0) AS nt FROM s1 CROSS JOIN ts LEFT JOIN sd ON sd.t = ts.t AND sd.s1_id = s1.s1_id LEFT JOIN nt ON nt.s1_id = s1.s1_id) SELECT t, round(avg(CASE WHEN nt = 0 THEN CASE WHEN np = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN ok > 0 THEN 1.25::DOUBLE * (ok / np) * (ok / nt) / (0.25::DOUBLE * (ok / np) + ok / nt) ELSE 0.0::DOUBLE END), 6) AS macro_f05 FROM z GROUP BY t")(lambda x: metrics.sweep(x.scored, x.s1_ids, x.truth_pairs, _TS))
+query("a9_threshold_sweep", ", ts AS (SELECT unnest([0.3, 0.4, 0.5, 0.6]::DOUBLE[]) AS t), hi AS (SELECT t, s1_id, cid, p FROM sc, ts WHERE p >= t), w AS (SELECT *, row_number() OVER (PARTITION BY t, cid ORDER BY p DESC, s1_id) AS k FROM hi), m AS (SELECT *, row_number() OVER (PARTITION BY t, s1_id ORDER BY p DESC, cid) AS j FROM w WHERE k = 1), sd AS (SELECT m.t, m.s1_id, count(*) AS np, count(tp.cid) AS ok FROM m LEFT JOIN tp ON m.s1_id = tp.s1_id AND m.cid = tp.cid WHERE j <= 12 GROUP BY 1, 2), z AS (SELECT ts.t, s1.s1_id, coalesce(np, 0) AS np, coalesce(ok, 0) AS ok, coalesce(n_true, 0) AS nt FROM s1 CROSS JOIN ts LEFT JOIN sd ON sd.t = ts.t AND sd.s1_id = s1.s1_id LEFT JOIN nt ON nt.s1_id = s1.s1_id) SELECT t, round(avg(CASE WHEN nt = 0 THEN CASE WHEN np = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN ok > 0 THEN 1.25::DOUBLE * (ok / np) * (ok / nt) / (0.25::DOUBLE * (ok / np) + ok / nt) ELSE 0.0::DOUBLE END), 6) AS macro_f05 FROM z GROUP BY t")(lambda x: metrics.sweep(x.scored, x.s1_ids, x.truth_pairs, _TS))
 query("a10_prob_bands", "SELECT CASE WHEN p < 0.2::DOUBLE THEN 0.2::DOUBLE WHEN p < 0.4::DOUBLE THEN 0.4::DOUBLE WHEN p < 0.6::DOUBLE THEN 0.6::DOUBLE WHEN p < 0.8::DOUBLE THEN 0.8::DOUBLE ELSE 99.0::DOUBLE END AS band, count(*) AS n FROM sc GROUP BY 1")(lambda x: metrics.bands(x.scored, [0.2, 0.4, 0.6, 0.8]))
 query("a11_fn_taxonomy", "SELECT CASE WHEN a.norm_address = '' OR b.norm_address = '' THEN 'missing_address' WHEN a.number <> '' AND b.number <> '' AND a.number <> b.number THEN 'number_conflict' WHEN NOT list_has_any(a.sig_tokens, b.sig_tokens) THEN 'no_shared_token' WHEN a.stripped_name <> b.stripped_name THEN 'name_variant' ELSE 'other' END AS reason, count(*) AS n FROM tp JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id LEFT JOIN matches m ON m.s1_id = tp.s1_id AND m.cid = tp.cid WHERE m.cid IS NULL GROUP BY 1".replace("FROM tp JOIN rec a ON s1_id", "FROM tp JOIN rec a ON tp.s1_id").replace("ON cid = b", "ON tp.cid = b"))(lambda x: features.pair_up(x.truth_pairs.join(x.matches, ["s1_id", "cid"], "left_anti"), x.s1, x.pool).select(metrics.fn_reason().alias("reason")).groupBy("reason").agg(F.count("*").alias("n")))
 query("a12_multi_claim", ", k AS (SELECT cid, count(DISTINCT s1_id) AS k FROM sc WHERE p >= 0.5::DOUBLE GROUP BY 1) SELECT count(*) AS claimed, count(*) FILTER (k > 1) AS multi, round(count(*) FILTER (k > 1) / count(*), 6) AS rate FROM k")(lambda x: metrics.multi_claims(x.scored, 0.5))
