@@ -100,7 +100,8 @@ def by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
 def taken_by_rank(rows: DataFrame):
     """Does the ranking take the row?  rows carry the plan's columns."""
     key = F.struct("u", F.col("doc_id").isNull().alias("none"), "doc_id")
-    return F.when(F.col("_cut_bucket").isNull(), F.col("_rest") > 0).otherwise((F.col("bucket") < F.col("_cut_bucket")) | ((F.col("bucket") == F.col("_cut_bucket")) & F.coalesce(key <= F.col("_last"), F.lit(False))))
+    upto = (F.col("bucket") < F.col("_cut_bucket")) | ((F.col("bucket") == F.col("_cut_bucket")) & F.coalesce(key <= F.col("_last"), F.lit(False)))
+    return (F.col("_rest") > 0) & (F.col("_cut_bucket").isNull() | upto)
 
 
 def mix(docs: DataFrame, seed: str = "mix-1", **kw) -> DataFrame:
