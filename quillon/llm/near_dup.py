@@ -7,17 +7,18 @@ element more or less changes one block, so at most D blocks of a pair differ.
 
 Pigeonhole.  A set shows only its first D + 1 non-empty blocks in one fixed order.  Two similar sets agree on all but D of
 their non-empty blocks, so one that both show is equal (a set with D blocks or fewer shows all it has; should two such
-sets meet, they share a block of their own).  The order puts blocks last whose shingles are all widespread: passages
-that many documents share are then shown only by documents made of little else.  Which shingles count as widespread
-(at least SPREAD of the documents; so there are at most mean size / SPREAD of them) touches the cost alone, never the result.
+sets meet, they share a block of their own).  The order puts blocks last whose shingles are all frequent: passages
+that many documents share are then shown only by documents made of little else.  Which shingles count as frequent touches
+the cost alone, never the result.
 
 Shown blocks travel as packed arrays, dealt by hash; only those that two different sets show leave their bucket, as groups
 of sets, each group once a bucket.  Widespread ones may be shown by any number of sets; they are never brought together
 but go through aggregations and joins of written tables, which adaptive execution can split.
 
-Verification.  First each group's leader is compared with its members, by intersecting whole sets.  Links make
+Verification.  First each group's leader is compared with its members: parity sketches rule pairs out whose Hamming
+distance is above 1/7 of their sizes, and whole sets, made again from the documents concerned, decide the rest.  Links make
 components.  Groups that still lie in several components are compared across them, small components against all, in
-tiles: parity sketches rule pairs out whose Hamming distance is above 1/7 of their sizes, whole sets decide the rest.
+tiles, in the same way.
 Pairs inside a component can't change it, so a large family of near copies never becomes all its pairs.
 Equal sets are one set from the start.
 """
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import read, written
 from .shingles import fold, mix, parity, portions, set_id, shingle_sets
 
-SPREAD, MOST_SPREAD = 1 / 1000, 1 << 20
+#: Share of the documents from which a shingle is widespread; times that one must be seen in a stretch, and in all, to be
+#: frequent; frequent shingles that are sent to executors.
+SPREAD, LOCAL, OFTEN, MOST_OFTEN = 1 / 2000, 3, 8, 1 << 20
 TILE = 256
 BROADCAST_IDS = 500_000
 
@@ -63,10 +66,14 @@ def blocks(g: int) -> int:
     return max(2 * bands()[g + 1], 4096)
 
 
-def shown(hashes: np.ndarray, spread: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-    """(keys, are they widespread, is the set of the group's upper band) for the two groups of the set's band."""
+def shown(hashes: np.ndarray, often: np.ndarray, wide: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """(keys, are they widespread, is the set of the group's upper band) for the two groups of the set's band.
+    often: sorted hashes of frequent shingles, and which of them are widespread."""
     own, out = band(len(hashes)), []
-    wide = np.isin(hashes, spread, assume_unique=True) if len(spread) else np.zeros(len(hashes), bool)
+    rank = np.zeros(len(hashes), np.int8)  # 0 rare, 1 frequent, 2 widespread
+    if len(often):
+        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        rank = np.where(often[at] == hashes, 1 + wide[at], 0).astype(np.int8)
     for g in (own, own - 1):
         if g < 0 or g == own - 1 and difference(g) == 0:
             continue
@@ -76,16 +83,16 @@ def shown(hashes: np.ndarray, spread: np.ndarray) -> list[tuple[np.ndarray, np.n
         place, h = place[order], hashes[order]
         start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         xor = np.bitwise_xor.reduceat(h, start)
-        all_wide = np.logical_and.reduceat(wide[order], start)
+        least = np.minimum.reduceat(rank[order], start)
         full = xor != 0
         key = mix(mix(xor ^ place[start]) + salt)[full]
-        all_wide, most = all_wide[full], difference(g) + 1
+        least, most = least[full], difference(g) + 1
         if len(key) > most:
-            first = np.lexsort((key, all_wide))[:most]
-            key, all_wide = key[first], all_wide[first]
+            first = np.lexsort((key, least))[:most]
+            key, least = key[first], least[first]
         elif len(key) < most:  # too few blocks for the guarantee: such sets of a group all share one more key
-            key, all_wide = np.append(key, mix(salt)), np.append(all_wide, True)
-        out.append((key, all_wide, g < own))
+            key, least = np.append(key, mix(salt)), np.append(least, 0)
+        out.append((key, least == 2, g < own))
     return out
 
 
@@ -93,44 +100,50 @@ def texts_of(batch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """Parity sketch of about four bits an element."""
+    return parity(hashes, max(256, 1 << (4 * len(hashes) - 1).bit_length())).tobytes() if len(hashes) else b""
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id of each row; and rows without them whose `often` holds shingles (and how many sets of a
+    """doc_id, n_shingles, set_id, sketch of each row; and rows without them whose `often` holds shingles (and how many sets of a
     stretch of the task have them) that are frequent there."""
 
     def often(sets: dict[int, np.ndarray]) -> bytes:
         if not sets:
             return b""
         h, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-        keep = n >= max(4, len(sets) * SPREAD)
+        keep = n >= LOCAL
         return np.stack([h[keep], n[keep].astype(np.uint64)]).tobytes()
 
-    def row(ids, n, sid, freq):
-        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(freq, pa.binary())], names=["doc_id", "n_shingles", "set_id", "often"])
+    def row(ids, n, sid, sketch, freq):
+        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sketch, pa.binary()), pa.array(freq, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sketch", "often"])
 
     def task(batches):
         held: dict[int, np.ndarray] = {}
         size = 0
         for b in batches:
-            n, sid = [], []
+            n, sid, sketch = [], [], []
             for some in portions(texts_of(b)):
                 for s in shingle_sets(some):
                     n.append(len(s))
                     sid.append(i := set_id(s))
+                    sketch.append(sketch_of(s))
                     if len(s) and i not in held:
                         held[i] = s
                         size += len(s)
                 if size > 3_000_000:
-                    yield row(pa.nulls(1, pa.int64()), [None], [None], [often(held)])
+                    yield row(pa.nulls(1, pa.int64()), [None], [None], [None], [often(held)])
                     held, size = {}, 0
-            yield row(b.column("doc_id"), n, sid, [None] * len(n))
-        yield row(pa.nulls(1, pa.int64()), [None], [None], [often(held)])
+            yield row(b.column("doc_id"), n, sid, sketch, [None] * len(n))
+        yield row(pa.nulls(1, pa.int64()), [None], [None], [None], [often(held)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, n_shingles long, set_id long, often binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, n_shingles long, set_id long, sketch binary, often binary")
 
 
-def widespread(described: DataFrame, n_docs: int) -> np.ndarray:
-    """Sorted hashes of the shingles that at least SPREAD of the documents have, as far as stretches of tasks saw them to
-    be frequent; at most MOST_SPREAD, the most frequent."""
+def frequent(described: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of frequent shingles, as far as stretches of tasks saw them, at most MOST_OFTEN (the most frequent);
+    and which of them at least SPREAD of the documents have."""
 
     def task(batches):
         for b in batches:
@@ -139,31 +152,35 @@ def widespread(described: DataFrame, n_docs: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.view(np.int64))], names=["h", "n"])
 
     rows = described.where("often is not null and length(often) > 0").select("often").mapInArrow(task, "h long, n long")
-    rows = rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, n_docs * SPREAD)).orderBy(F.desc("n"), "h").limit(MOST_SPREAD)
-    return np.sort(np.array([r.h for r in rows.select("h").collect()], np.int64).view(np.uint64))
+    rows = rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(MOST_OFTEN).toArrow()
+    h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order] >= max(OFTEN, n_docs * SPREAD)
 
 
-def show(docs: DataFrame, spread: np.ndarray, buckets: int) -> DataFrame:
-    """Shown blocks, packed: bucket, wide, keys, owners (places in ids; top bit: upper band), ids, sizes."""
-    wide_hashes = docs.sparkSession.sparkContext.broadcast(spread)
+def show(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], buckets: int, wide: bool) -> DataFrame:
+    """Shown blocks that are widespread, or those that aren't, packed: bucket, keys (48 bits each), owners (places in ids;
+    top bit: upper band), ids, sizes."""
+    known = docs.sparkSession.sparkContext.broadcast(often)  # at most MOST_OFTEN hashes
 
-    def pack(keys, wides, owners, ids, sizes):
-        keys, wides, owners = np.concatenate(keys), np.concatenate(wides), np.concatenate(owners)
-        bucket = (keys % np.uint64(buckets)).astype(np.int64) * 2 + wides
+    def pack(keys, owners, ids, sizes):
+        keys, owners = np.concatenate(keys), np.concatenate(owners)
+        bucket = (keys % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         bucket, keys, owners = bucket[order], keys[order], owners[order]
         at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         ids, sizes, rows = np.array(ids, np.int64), np.array(sizes, np.int32), []
         for a, b in zip(at, [*at[1:], len(keys)]):
-            used, local = np.unique(owners[a:b] & 0x7FFFFFFF, return_inverse=True)
-            local = local.astype(np.uint32) | (owners[a:b] & np.uint32(0x80000000))
-            rows.append((int(bucket[a]) // 2, bool(bucket[a] & 1), keys[a:b].tobytes(), local.tobytes(), ids[used].tobytes(), sizes[used].tobytes()))
-        types = (pa.int32(), pa.bool_(), *[pa.binary()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "wide", "keys", "owners", "ids", "sizes"])
+            used, local = np.unique(owners[a:b] & np.uint16(0x7FFF), return_inverse=True)
+            local = local.astype(np.uint16) | (owners[a:b] & np.uint16(0x8000))
+            low, high = keys[a:b].astype(np.uint32), (keys[a:b] >> np.uint64(32)).astype(np.uint16)
+            rows.append((int(bucket[a]), low.tobytes() + high.tobytes(), local.tobytes(), ids[used].tobytes(), sizes[used].tobytes()))
+        types = (pa.int32(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "keys", "owners", "ids", "sizes"])
 
     def task(batches):
         seen: set[int] = set()
-        keys, wides, owners, ids, sizes, held = [], [], [], [], [], 0
+        keys, owners, ids, sizes, held = [], [], [], [], 0
         for b in batches:
             for some in portions(texts_of(b)):
                 for s in shingle_sets(some):
@@ -173,27 +190,30 @@ def show(docs: DataFrame, spread: np.ndarray, buckets: int) -> DataFrame:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(i)
-                    for k, w, upper in shown(s, wide_hashes.value):
+                    for k, w, upper in shown(s, *known.value):
+                        k = k[w == wide]
                         keys.append(k)
-                        wides.append(w)
-                        owners.append(np.full(len(k), len(ids) | (0x80000000 if upper else 0), np.uint32))
+                        owners.append(np.full(len(k), len(ids) | (0x8000 if upper else 0), np.uint16))
                         held += len(k)
                     ids.append(i)
                     sizes.append(len(s))
-                if held > 2_000_000:
-                    yield pack(keys, wides, owners, ids, sizes)
-                    keys, wides, owners, ids, sizes, held = [], [], [], [], [], 0
-        if keys:
-            yield pack(keys, wides, owners, ids, sizes)
+                    if held > 1_000_000 or len(ids) == 0x7FFF:
+                        if held:
+                            yield pack(keys, owners, ids, sizes)
+                        keys, owners, ids, sizes, held = [], [], [], [], 0
+        if held:
+            yield pack(keys, owners, ids, sizes)
 
-    return docs.select("text").mapInArrow(task, "bucket int, wide boolean, keys binary, owners binary, ids binary, sizes binary")
+    return docs.select("text").mapInArrow(task, "bucket int, keys binary, owners binary, ids binary, sizes binary")
 
 
 def unpack(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """keys, set ids, sizes, upper"""
-    owner = np.frombuffer(r["owners"], np.uint32)
-    at = owner & np.uint32(0x7FFFFFFF)
-    return np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["ids"], np.int64)[at], np.frombuffer(r["sizes"], np.int32)[at], owner >= np.uint32(0x80000000)
+    owner = np.frombuffer(r["owners"], np.uint16)
+    at = owner & np.uint16(0x7FFF)
+    n = len(owner)
+    key = np.frombuffer(r["keys"], np.uint32, n).astype(np.uint64) | np.frombuffer(r["keys"], np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+    return key, np.frombuffer(r["ids"], np.int64)[at], np.frombuffer(r["sizes"], np.int32)[at], owner >= np.uint16(0x8000)
 
 
 GROUP = "grp long, leader long, leader_n int, member long, member_n int"
@@ -230,7 +250,7 @@ def meet(shown_blocks: DataFrame) -> DataFrame:
         rows[start] = False
         return pa.table({"grp": np.repeat(same, count)[rows].view(np.int64), "leader": sid[leads][rows], "leader_n": size[leads][rows], "member": sid[rows], "member_n": size[rows]})
 
-    return shown_blocks.where("not wide").groupBy("bucket").applyInArrow(bucket, GROUP)
+    return shown_blocks.groupBy("bucket").applyInArrow(bucket, GROUP)
 
 
 def meet_widespread(shown_blocks: DataFrame) -> DataFrame:
@@ -242,7 +262,7 @@ def meet_widespread(shown_blocks: DataFrame) -> DataFrame:
                 key, sid, size, upper = unpack(r)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid), pa.array(size), pa.array(upper)], names=["grp", "member", "member_n", "upper"])
 
-    each = shown_blocks.where("wide").select("keys", "owners", "ids", "sizes").mapInArrow(rows, "grp long, member long, member_n int, upper boolean").distinct()
+    each = shown_blocks.select("keys", "owners", "ids", "sizes").mapInArrow(rows, "grp long, member long, member_n int, upper boolean").distinct()
     each = written(each, "near-wide")
     lead = each.groupBy("grp").agg(F.min(F.struct("upper", "member", "member_n")).alias("l"), F.count("*").alias("k")).where("k > 1 and not l.upper")
     lead = written(lead.select(F.col("grp").alias("g"), F.col("l.member").alias("leader"), F.col("l.member_n").alias("leader_n")), "near-leads")
@@ -250,7 +270,7 @@ def meet_widespread(shown_blocks: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_id, n, hashes, sketch for the documents whose ids are wanted (doc_id)."""
+    """set_id, hashes of the documents whose ids are wanted (doc_id)."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     wanted = written(wanted, "near-wanted")
     few = wanted.count() <= BROADCAST_IDS
@@ -260,19 +280,38 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             for some in portions(texts_of(b)):
-                sets = [(i, s) for s in shingle_sets(some) if len(s) and (i := set_id(s)) not in seen]
-                sets = list({i: (i, s) for i, s in sets}.values())
-                seen.update(i for i, _ in sets)
-                width = [max(256, 1 << (4 * len(s) - 1).bit_length()) for _, s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary()), pa.array([parity(s, w).tobytes() for (_, s), w in zip(sets, width)], pa.binary())], names=["set_id", "hashes", "sketch"])
+                sets = {i: s for s in shingle_sets(some) if len(s) and (i := set_id(s)) not in seen}
+                seen.update(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["set_id", "hashes"])
+
+    return texts.mapInArrow(task, "set_id long, hashes binary").dropDuplicates(["set_id"])
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b of the pairs (a, b) whose sizes and sketches do not rule similarity out."""
+    side = lambda k: sketches.select(F.col("set_id").alias(f"{k}_id"), F.col("n").alias(f"{k}_n"), F.col("sketch").alias(f"{k}_s"))
+    both = pairs.join(side("l"), F.col("a") == F.col("l_id")).join(side("r"), F.col("b") == F.col("r_id")).where("4 * least(l_n, r_n) >= 3 * greatest(l_n, r_n)")
+
+    def task(batches):
+        for b in batches:
+            keep = []
+            for n, x, y in zip((b.column("l_n").to_numpy() + b.column("r_n").to_numpy()).tolist(), b.column("l_s").to_pylist(), b.column("r_s").to_pylist()):
+                words = min(len(x), len(y)) // 8
+                far = np.bitwise_count(fold(np.frombuffer(x, np.uint64), words) ^ fold(np.frombuffer(y, np.uint64), words)).sum()
+                keep.append(bool(7 * int(far) <= n))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    made = texts.mapInArrow(task, "set_id long, hashes binary, sketch binary")
-    return written(made, "near-sets")
+    return both.select("a", "b", "l_n", "r_n", "l_s", "r_s").mapInArrow(task, "a long, b long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b of the pairs (a, b, distinct) whose sets are similar."""
-    pairs = written(pairs.select("a", "b").distinct(), "near-pairs")
+def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """a, b of the pairs (a, b) whose sets are similar: the documents that stand for them (reps: set_id, rep) are read once
+    more and whole sets intersected."""
+    pairs = written(pairs.distinct(), "near-pairs")
+    if pairs.isEmpty():
+        return pairs
+    ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
+    sets = written(sets_of(docs, reps.join(ids, F.col("set_id") == F.col("i")).select(F.col("rep").alias("doc_id"))), "near-sets")
     one = sets.select(F.col("set_id").alias("i"), F.col("hashes").alias("left"))
     two = sets.select(F.col("set_id").alias("j"), F.col("hashes").alias("right"))
     both = pairs.join(one, F.col("a") == F.col("i")).select("a", "b", "left").join(two, F.col("b") == F.col("j")).select("a", "b", "left", "right")
@@ -309,7 +348,7 @@ def components(links: DataFrame) -> DataFrame:
     return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v"))).distinct(), "roots")
 
 
-def rest(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+def rest(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) of groups that still lie in several components, across components and not ruled out by sketches."""
     leads = groups.select("grp", F.col("leader").alias("s"), F.col("leader_n").alias("n")).distinct()
     each = groups.select("grp", F.col("member").alias("s"), F.col("member_n").alias("n")).union(leads)
@@ -320,8 +359,8 @@ def rest(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     parts = written(parts.where("parts > 1 and k > 2").select(F.col("grp").alias("g"), "main", "k", F.ceil((F.col("k") - F.col("most")) / TILE).cast("int").alias("tiles")), "near-mixed")
     if parts.isEmpty():
         return each.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0)
-    mixed = written(each.join(parts, F.col("grp") == F.col("g")).drop("g"), "near-mixed")
-    mixed = mixed.join(sets.select("set_id", "sketch"), F.col("s") == F.col("set_id")).drop("set_id")
+    mixed = each.join(parts, F.col("grp") == F.col("g")).drop("g")
+    mixed = mixed.join(sketches.select("set_id", "sketch"), F.col("s") == F.col("set_id")).drop("set_id")
     mixed = written(mixed, "near-mixed")
     cut = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "s"), n).cast("int")
     minor = mixed.where("root <> main").withColumn("tile", cut(1, F.col("tiles"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("k") / 4096).cast("int") - 1)))
@@ -359,19 +398,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     described = written(describe(docs), "near-described")
     rows = described.where("n_shingles is not null")
     n_docs, n_all = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    spread = widespread(described, n_docs)
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_all // 4_000_000)
-    packed = written(show(docs, spread, buckets), "near-shown") if len(spread) else None
-    groups = meet(packed if packed is not None else show(docs, spread, buckets))
-    if packed is not None:
-        groups = groups.union(meet_widespread(packed))
+    often = frequent(described, n_docs)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_all // 1_500_000)
+    groups = meet(show(docs, often, buckets, wide=False))
+    if often[1].any():
+        groups = groups.union(meet_widespread(show(docs, often, buckets, wide=True)))
     groups = written(groups, "near-groups")
     reps = written(rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "near-reps")
     ids = written(groups.select(F.col("member").alias("i")).union(groups.select("leader")).distinct(), "near-ids")
-    sets = sets_of(docs, reps.join(ids, F.col("set_id") == F.col("i")).select(F.col("rep").alias("doc_id")))
-    links = verify(groups.where("4 * least(leader_n, member_n) >= 3 * greatest(leader_n, member_n)").select(F.least("leader", "member").alias("a"), F.greatest("leader", "member").alias("b")), sets)
+    sketches = rows.join(ids, F.col("set_id") == F.col("i"), "left_semi").groupBy("set_id").agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    sketches = written(sketches, "near-sketches")
+    pairs = groups.select(F.least("leader", "member").alias("a"), F.greatest("leader", "member").alias("b")).distinct()
+    links = verify(plausible(written(pairs, "near-stars"), sketches), docs, reps)
     roots = components(links)
-    more = verify(rest(groups, roots, sets), sets)
+    more = verify(rest(groups, roots, sketches), docs, reps)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     named = reps.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))

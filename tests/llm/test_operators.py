@@ -102,7 +102,7 @@ def test_near_duplicates(spark, odd):
 
 def test_near_duplicates_where_few_blocks_can_be_shown(spark, odd, monkeypatch):
     monkeypatch.setattr(near_dup, "blocks", lambda g: 8)
-    keys = near_dup.shown(np.arange(1, 60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.zeros(0, np.uint64))
+    keys = near_dup.shown(np.arange(1, 60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.zeros(0, np.uint64), np.zeros(0, bool))
     assert all(len(k) <= 9 for k, *_ in keys)  # at most the blocks and the key that such sets share
 
 
