@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +20,14 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Registers f(x: Linkage) under a name; sql reads the shared table expressions unless it is marked RAW."""
+    """Registers f(x: Linkage) under a name; sql reads the shared table expressions unless it is marked RAW.  Where sql
+    reads fewer pairs than there are, name keeps to its rows and name_whole, which has no sql, covers all."""
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Linkage(spark, sf_dir))
+        cut = {"near": 12} if re.search(r"\bkp\b", sql or "") else {}
+        QUERIES[name] = lambda spark, sf_dir: f(Linkage(spark, sf_dir, **cut))
+        if cut:
+            QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(Linkage(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = sql[4:] if sql.startswith("RAW ") else duck.cte() + sql
         return f
@@ -118,11 +124,11 @@ _COSTLY = {
 }
 for _name, (_f, _a, _b, _guard) in _COSTLY.items():
     _sql = f", st AS (SELECT s1_id, cid, {_a} AS x, {_b} AS y FROM kp JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id) SELECT s1_id, cid, round({duck.indel('x', 'y', _guard)}, 6) AS value FROM st"
-    query(_name, _sql)(lambda x, f=_f: x.near_paired.select("s1_id", "cid", F.round(features.costly()[f], 6).alias("value")))
-query("x4_indel_native", f", st AS (SELECT s1_id, cid, a.stripped_name AS x, b.stripped_name AS y FROM kp JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id) SELECT s1_id, cid, round({duck.indel('x', 'y', False)}, 6) AS value FROM st")(lambda x: x.near_paired.select("s1_id", "cid", F.round(S.indel_ratio_native(F.col("a.stripped_name"), F.col("b.stripped_name")), 6).alias("value")))
-query("x21_sequence_ratio")(lambda x: x.near_paired.select("s1_id", "cid", F.round(S.sequence_ratio(F.col("a.norm_name"), F.col("b.norm_name")), 6).alias("value")))
-query("x23_jaro_winkler", "SELECT s1_id, cid, round(jaro_winkler_similarity(a.norm_name, b.norm_name), 6) AS value FROM kp JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id")(lambda x: x.near_paired.select("s1_id", "cid", F.round(S.jaro_winkler(F.col("a.norm_name"), F.col("b.norm_name")), 6).alias("value")))
-query("x23_levenshtein", "SELECT s1_id, cid, CAST(levenshtein(a.norm_name, b.norm_name) AS INTEGER) AS value FROM kp JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id")(lambda x: x.near_paired.select("s1_id", "cid", F.levenshtein("a.norm_name", "b.norm_name").alias("value")))
+    query(_name, _sql)(lambda x, f=_f: x.costly_paired.select("s1_id", "cid", F.round(features.costly()[f], 6).alias("value")))
+query("x4_indel_native", f", st AS (SELECT s1_id, cid, a.stripped_name AS x, b.stripped_name AS y FROM kp JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id) SELECT s1_id, cid, round({duck.indel('x', 'y', False)}, 6) AS value FROM st")(lambda x: x.costly_paired.select("s1_id", "cid", F.round(S.indel_ratio_native(F.col("a.stripped_name"), F.col("b.stripped_name")), 6).alias("value")))
+query("x21_sequence_ratio")(lambda x: x.costly_paired.select("s1_id", "cid", F.round(S.sequence_ratio(F.col("a.norm_name"), F.col("b.norm_name")), 6).alias("value")))
+query("x23_jaro_winkler", "SELECT s1_id, cid, round(jaro_winkler_similarity(a.norm_name, b.norm_name), 6) AS value FROM kp JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id")(lambda x: x.costly_paired.select("s1_id", "cid", F.round(S.jaro_winkler(F.col("a.norm_name"), F.col("b.norm_name")), 6).alias("value")))
+query("x23_levenshtein", "SELECT s1_id, cid, CAST(levenshtein(a.norm_name, b.norm_name) AS INTEGER) AS value FROM kp JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id")(lambda x: x.costly_paired.select("s1_id", "cid", F.levenshtein("a.norm_name", "b.norm_name").alias("value")))
 _VEC = """, nm AS (SELECT DISTINCT stripped_name AS name FROM rec), {words}, tf AS (SELECT name, term, count(*) AS tf FROM te GROUP BY 1, 2), nn AS (SELECT count(*) AS n FROM nm), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= {low} AND count(*) <= {high} * (SELECT n FROM nn)),
 w0 AS (SELECT name, term, {tf} * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), nn), vec AS (SELECT name, term, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM w0)
 """
@@ -149,7 +155,7 @@ _COS = "SELECT DISTINCT a.stripped_name AS name_1, b.stripped_name AS name_2, ro
 
 
 def _cosine(x, vecs) -> DataFrame:
-    near = x.near_paired.select(F.col("a.stripped_name").alias("name_1"), F.col("b.stripped_name").alias("name_2"))
+    near = x.costly_paired.select(F.col("a.stripped_name").alias("name_1"), F.col("b.stripped_name").alias("name_2"))
     return tfidf.cosine(near, vecs).withColumn("cosine", F.round("cosine", 6))
 
 
@@ -224,7 +230,7 @@ def _(x):
     from ..operators import model
 
     fitted, split = linkage.train(x)
-    test = x.near_paired.join(split.where("split = 'test'").select("s1_id"), "s1_id", "left_semi")
+    test = x.paired.join(split.where("split = 'test'").select("s1_id"), "s1_id", "left_semi")
     return model.score(fitted, features.features(test)).select("s1_id", "cid", F.round("p", 6).alias("p"))
 
 

@@ -18,8 +18,9 @@ THRESHOLDS = {"US": 0.5, "India": 0.45, "default": 0.4}
 class Linkage:
     """Records, pairs, scores and matches of one data folder; every part is a plan, nothing runs before it is asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, caps: dict[str, int] = CAPS):
-        self.spark, self.sf_dir, self.caps = spark, sf_dir, caps
+    def __init__(self, spark: SparkSession, sf_dir: str, caps: dict[str, int] = CAPS, near: int | None = None):
+        """near: costly features only of pairs whose numbers are at most so far apart, as the SQL twins have it."""
+        self.spark, self.sf_dir, self.caps, self.near = spark, sf_dir, caps, near
 
     @functools.cached_property
     def ent(self) -> DataFrame:
@@ -58,10 +59,12 @@ class Linkage:
         return features.pair_up(self.pairs, self.s1, self.pool)
 
     @property
-    def near_paired(self) -> DataFrame:
-        """Pairs of neighbouring part numbers: few enough for costly features."""
-        near = self.pairs.where(F.abs(sampling.number_of("s1_id") - sampling.number_of("cid")) <= 12)
-        return features.pair_up(near, self.s1, self.pool)
+    def costly_paired(self) -> DataFrame:
+        """The pairs that costly features run on: all, unless `near` is given."""
+        if self.near is None:
+            return self.paired
+        close = F.abs(sampling.number_of("s1_id") - sampling.number_of("cid")) <= self.near
+        return features.pair_up(self.pairs.where(close), self.s1, self.pool)
 
     @functools.cached_property
     def scored(self) -> DataFrame:
