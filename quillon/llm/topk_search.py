@@ -90,7 +90,8 @@ def search(index: dict, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tu
 def exact_top_k(table: DataFrame, is_query, k: int = 5, column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each row where is_query (a Column) holds.
 
-    Rows that share the query's vec_id are its own and take no part; vectors meet only those of their own length; ties go
+    Rows that share the query's vec_id are its own and take no part.  Repeated rows count as often as they are there: each
+    copy of a vector has a rank of its own, and copies of a query search as one, each adding its rows.  Vectors meet only those of their own length; ties go
     to the smaller vec_id; with fewer than k others all are returned; an empty table gives no row.  Components times 256
     must stay below 2^24 for sums to be exact.  Columns but vec_id and the vectors are not looked at.
     """
@@ -121,7 +122,7 @@ def exact_top_k(table: DataFrame, is_query, k: int = 5, column: str = "embedding
     keys = ("dim", "set", "block")
     best = asks.groupBy(*keys).cogroup(made.groupBy(*keys)).applyInArrow(cell, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -308,6 +308,23 @@ def test_top_k_over_blocks(spark, tmp_path, monkeypatch):
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute_top(rows)
 
 
+@pytest.mark.parametrize("block", [4096, 40])
+def test_top_k_with_repeated_rows(spark, tmp_path, monkeypatch, block):
+    """Copies of vectors, and of queries, rank as rows of their own, as the SQL has it."""
+    monkeypatch.setattr(topk_search, "BLOCK", block)
+    monkeypatch.setattr(topk_search, "FEW", 2)
+    rows = [(i, e) for i, e, _ in table(name="embeddings")][:120]
+    best = {c for _, _, c, _ in brute_top(rows)}
+    rows += [x for x in rows if x[0] in best and x[0] % 50 for _ in range(x[0] % 5)] + [x for x in rows if x[0] == 50]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"SELECT query_id, rank, vec_id, score FROM ({topk_search.SQL})").fetchall()
+    got = topk_search.op9_topk_search(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert len({q for q, *_ in want}) * 5 == len(want)
+
+
 def test_mixing(spark, odd):
     path, docs = odd
     rows = mixing.op10_mixing(spark, path).collect()
