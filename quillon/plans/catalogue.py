@@ -21,10 +21,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     """Registers f(x: Linkage) under a name; sql reads the shared table expressions unless it is marked RAW.  Where sql
-    reads fewer pairs than there are, name keeps to its rows and name_whole, which has no sql, covers all."""
+    reads fewer pairs than there are, by lower caps or near numbers, name keeps to its rows and name_whole, which has no
+    sql, covers all."""
 
     def add(f):
-        cut = {"near": 12} if re.search(r"\bkp\b", sql or "") else {}
+        cut = {"caps": linkage.CAPS} if re.search(r"\b(posts|cand|cheap|sc|kp|prim|won|matches|said|f0|f1|fs)\b", sql or "") else {}
+        cut |= {"near": 12} if re.search(r"\bkp\b", sql or "") else {}
         QUERIES[name] = lambda spark, sf_dir: f(Linkage(spark, sf_dir, **cut))
         if cut:
             QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(Linkage(spark, sf_dir))

@@ -7,10 +7,12 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vocabulary import POSTING_CAPS
 from ..operators import blocking, features, model, records, resolve, sampling
 from ..sources import fixture, readers, staging
 from ..sources.sinks import match_rows
 
+#: Caps of the SQL twins, below the reference's POSTING_CAPS.
 CAPS = {"P": 80, "AT": 150, "default": 100}
 THRESHOLDS = {"US": 0.5, "India": 0.45, "default": 0.4}
 
@@ -18,7 +20,7 @@ THRESHOLDS = {"US": 0.5, "India": 0.45, "default": 0.4}
 class Linkage:
     """Records, pairs, scores and matches of one data folder; every part is a plan, nothing runs before it is asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, caps: dict[str, int] = CAPS, near: int | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, caps: dict[str, int] = POSTING_CAPS, near: int | None = None):
         """near: costly features only of pairs whose numbers are at most so far apart, as the SQL twins have it."""
         self.spark, self.sf_dir, self.caps, self.near = spark, sf_dir, caps, near
 

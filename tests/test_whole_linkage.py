@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import similarity as S
+from quillon.functions import vocabulary as V
 from quillon.operators import features, model, sampling
 from quillon.plans import catalogue, duck, linkage
 
@@ -49,7 +50,7 @@ def plain():
     """The records and all candidate pairs of the smallest table, by SQL."""
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{SF}/part.parquet'")
-    sql = duck.cte(linkage.CAPS)
+    sql = duck.cte(V.POSTING_CAPS)
     cols = ("entity_id", "norm_name", "stripped_name", "street", "norm_address", "phonetic", "compact_brand")
     rec = {r[0]: dict(zip(cols, r)) for r in con.execute(f"{sql} SELECT {', '.join(cols)} FROM rec").fetchall()}
     return rec, set(con.execute(f"{sql} SELECT s1_id, cid FROM cand").fetchall())
@@ -81,3 +82,20 @@ def test_the_classifier_scores_every_candidate_of_the_test_split(spark, plain, m
     got = {(r.s1_id, r.cid) for r in catalogue.queries()["m1_gbt_score"](spark, SF).collect()}
     which = {r.s1_id: r.split for r in split.collect()}
     assert got == {p for p in plain[1] if which[p[0]] == "test"}
+
+
+def test_candidates_under_the_caps_of_the_reference(spark):
+    """sf0.01 has keys with 101 to 300 postings."""
+    big = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{big}/part.parquet'")
+    want = set(con.execute(f"{duck.cte(V.POSTING_CAPS)} SELECT s1_id, cid FROM cand").fetchall())
+    cut = {(r.s1_id, r.cid) for r in catalogue.queries()["j2_candidates"](spark, big).collect()}
+    got = {(r.s1_id, r.cid) for r in catalogue.queries()["j2_candidates_whole"](spark, big).collect()}
+    print("pairs:", len(cut), len(got))
+    assert got == want > cut
+
+
+def test_queries_without_sql_run_under_the_caps_of_the_reference(spark):
+    assert linkage.Linkage(spark, SF).caps == V.POSTING_CAPS
+    assert not {q for q in catalogue.oracle_sql() if q.endswith("_whole")}
