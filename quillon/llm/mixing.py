@@ -54,8 +54,9 @@ def targets(sizes: DataFrame, weights=BASE_WEIGHTS, total: float = TOTAL, most:
     return w.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), "cap").alias("target"))
 
 
-def plan(sized: DataFrame, **kw) -> DataFrame:
-    """doc_id, source, size, u -> one row a source: target, certain copies, the cut in the ranking, the closing document."""
+def plan(sized: DataFrame, first_cut: bool = False, **kw) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, source, size, u -> one row a source: target, certain copies, the cut in the ranking, the closing document;
+    and the documents (source, doc_id) taken below the cut.  first_cut: none is; the draw ends at the first that does not fit."""
     b = F.floor(F.col("u") * BUCKETS).cast("int")
     sized = sized.withColumn("bucket", b)
     buckets = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
@@ -77,13 +78,70 @@ def plan(sized: DataFrame, **kw) -> DataFrame:
     fits = F.col("upto") <= F.col("_rest")
     ends = near.groupBy("source").agg(F.max(F.when(fits, key)).alias("last"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.first("_before")).alias("got"), F.first("_rest").alias("rest"), F.first("_before").alias("before"))
     ends = written(ends.withColumn("gap", F.col("rest") - F.col("got")).select("source", "last", "gap"), "mix-ends")
+    extra = None
+    if not first_cut:
+        extra, gaps = passed_over(sized, shares, cut, ends)
+        ends = written(ends.drop("gap").join(gaps.withColumnRenamed("source", "s4"), F.col("source").eqNullSafe(F.col("s4"))).drop("s4"), "mix-gaps")
     full = shares.join(cut.select(F.col("source").alias("s1"), F.col("bucket").alias("cut_bucket")), F.col("source").eqNullSafe(F.col("s1")), "left").drop("s1")
     full = written(full.join(ends.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2"), "mix-plan")
     # The document outside the sample whose size is nearest to what the cut leaves open closes the gap, if that helps.
     left = by_source(sized, full)
-    left = left.where(~taken_by_rank(left) & F.col("_gap").isNotNull() & (F.col("size") > 0) & (F.col("doc_id").isNotNull()) & (F.abs(F.col("size") - F.col("_gap")) < F.col("_gap")))
+    left = with_below(left, extra)
+    left = left.where(~taken_by_rank(left) & ~F.col("_below") & F.col("_gap").isNotNull() & (F.col("size") > 0) & (F.col("doc_id").isNotNull()) & (F.abs(F.col("size") - F.col("_gap")) < F.col("_gap")))
     closing = left.groupBy(F.col("source").alias("s3")).agg(F.min_by("doc_id", F.struct(F.abs(F.col("size") - F.col("_gap")), "u", "doc_id")).alias("closing"))
-    return written(full.join(closing, F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3"), "mix-full")
+    return written(full.join(closing, F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3"), "mix-full"), extra
+
+
+def passed_over(sized: DataFrame, shares: DataFrame, cut: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Goes on down the ranking: a document that does not fit what is still open is passed over, the next that fits is
+    taken.  Returns the documents taken so (source, doc_id) and what stays open of each source (source, gap).
+
+    A round takes the head of those that fit the gap alone, up to the first that does not fit with those before it.  That
+    one and all too long for the new gap never fit again, so a round leaves fewer, and the rounds end when none is open."""
+    full = shares.select("source", "rest").join(cut.select(F.col("source").alias("s1"), F.col("bucket").alias("cut_bucket")), F.col("source").eqNullSafe(F.col("s1"))).drop("s1")
+    full = written(full.join(ends.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "mix-open")
+    rows = by_source(sized, full)
+    rows = rows.where(~taken_by_rank(rows) & (F.col("_rest") > 0) & (F.col("size") > 0) & F.col("doc_id").isNotNull() & (F.col("size") <= F.col("_gap")))
+    # Rows that share a doc_id are one document.
+    rows = written(rows.groupBy("source", "bucket", "u", "doc_id").agg(F.sum("size").alias("size")), "mix-below")
+    gaps, taken = written(ends.select("source", "gap"), "mix-gap"), []
+    while True:
+        open_ = by_source(rows, gaps).where(F.col("size") <= F.col("_gap")).select(*rows.columns, F.col("_gap").alias("gap"))
+        rows = written(open_, "mix-below")
+        if rows.isEmpty():
+            break
+        running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("gap").alias("gap")).withColumn("upto", F.sum("words").over(running))
+        # The bucket of the cut; where all fit, past the last.
+        at = sums.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("gap"), F.col("bucket"))).alias("at"), F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("before"))
+        at = written(at.select("source", F.coalesce("at", F.lit(BUCKETS)).alias("at"), F.coalesce("before", F.lit(0)).alias("before")), "mix-at")
+        near = by_source(rows, at)
+        order = Window.partitionBy("source").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        edge = near.where(F.col("bucket") == F.col("_at")).withColumn("upto", F.col("_before") + F.sum("size").over(order))
+        edge = edge.withColumn("in", F.col("upto") <= F.col("gap")).select("source", "bucket", "u", "doc_id", "size", "in")
+        below = near.where(F.col("bucket") < F.col("_at")).select("source", "bucket", "u", "doc_id", "size", F.lit(True).alias("in"))
+        got = written(edge.where("in").unionByName(below), "mix-got").drop("in")
+        taken.append(got.select("source", "doc_id"))
+        # Only what ranks after the blocked document can still be taken.
+        blocked = edge.where("not in").groupBy("source").agg(F.min(F.struct("u", "doc_id")).alias("blocked"))
+        words = got.groupBy("source").agg(F.sum("size").alias("words")).withColumnRenamed("source", "s5")
+        gaps = gaps.join(words, F.col("source").eqNullSafe(F.col("s5")), "left").select("source", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap"))
+        gaps, blocked = written(gaps, "mix-gap"), written(blocked, "mix-blocked")
+        rows = by_source(rows.drop("gap"), blocked)
+        rows = rows.where(F.struct("u", "doc_id") > F.col("_blocked")).select("source", "bucket", "u", "doc_id", "size")
+    none = rows.select("source", "doc_id")
+    for t in taken:
+        none = none.unionByName(t)
+    return written(none, "mix-taken"), gaps
+
+
+def with_below(rows: DataFrame, extra: DataFrame | None) -> DataFrame:
+    """rows with _below: are they taken below the cut?"""
+    if extra is None:
+        return rows.withColumn("_below", F.lit(False))
+    t = extra.select(F.col("source").alias("_s6"), F.col("doc_id").alias("_d6"), F.lit(True).alias("_hit"))
+    on = rows.join(t, (rows.doc_id == t._d6) & rows.source.eqNullSafe(t._s6), "left")
+    return on.withColumn("_below", F.coalesce("_hit", F.lit(False))).drop("_s6", "_d6", "_hit")
 
 
 def by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -113,24 +171,31 @@ def mix(docs: DataFrame, seed: str = "mix-1", **kw) -> DataFrame:
     """
     own = ["size", "u", "bucket", "source_size", "target", "copies"]
     base = docs.drop(*own).withColumn("size", size_of(text_of(docs))).withColumn("u", uniform(F.col("doc_id"), seed))
-    return apply_plan(base, plan(written(base.select("doc_id", "source", "size", "u"), "mix-sizes"), **kw)).drop("u", "bucket")
+    return apply_plan(base, *plan(written(base.select("doc_id", "source", "size", "u"), "mix-sizes"), **kw)).drop("u", "bucket")
 
 
-def apply_plan(sized: DataFrame, full: DataFrame) -> DataFrame:
+def apply_plan(sized: DataFrame, full: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     rows = by_source(sized.withColumn("bucket", F.floor(F.col("u") * BUCKETS).cast("int")), full)
-    more = taken_by_rank(rows) | F.coalesce(F.col("doc_id") == F.col("_closing"), F.lit(False))
+    rows = with_below(rows, extra)
+    more = taken_by_rank(rows) | F.col("_below") | F.coalesce(F.col("doc_id") == F.col("_closing"), F.lit(False))
     rows = rows.withColumn("copies", F.col("_copies") + F.when(more, 1).otherwise(0)).withColumn("source_size", F.col("_source_size")).withColumn("target", F.col("_target"))
-    return rows.drop(*[c for c in rows.columns if c in {f"_{x}" for x in full.columns}])
+    return rows.drop("_below", *[c for c in rows.columns if c in {f"_{x}" for x in full.columns}])
 
 
-def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op10_mixing(spark: SparkSession, sf_dir: str, first_cut: bool = True) -> DataFrame:
+    """As the SQL has it: the draw ends at the first document that does not fit."""
     docs = read(spark, sf_dir, "documents")
     seed = "mix-1"
     sized = written(docs.select("doc_id", "source", size_of(text_of(docs)).alias("size"), uniform(F.col("doc_id"), seed).alias("u")), "mix-sizes")
-    rows = apply_plan(sized, plan(sized))
+    rows = apply_plan(sized, *plan(sized, first_cut=first_cut))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_mixing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with documents that do not fit passed over, as the pipeline mixes."""
+    return op10_mixing(spark, sf_dir, first_cut=False)
+
+
 #: The same rows by plain sums: levels from running sums, the cut from one ranking of each source, then the closing document.
 SQL = r"""
 WITH s AS (SELECT doc_id, source,
