@@ -16,7 +16,7 @@ from quillon.llm.common import read, tokenizer_file, written
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, fitted on the labels of its training fold, scores below its threshold."""
     model = quality.learn(docs, read(spark, sf_dir, "labels").where(quality.fold() != 0))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

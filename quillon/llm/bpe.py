@@ -12,13 +12,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, text_of, tokenizer_file
-from .pieces import PieceCache
+from .pieces import PieceCache, kept
+
+#: Characters of text that leave a task together.
+BATCH = 4 << 20
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -37,7 +42,7 @@ def merged(ranks: dict[bytes, int], piece: bytes, below: int | None = None) -> l
 
 
 class BytePairEncoder:
-    def __init__(self, ranks: dict[bytes, int], memo: int = 2_000_000):
+    def __init__(self, ranks: dict[bytes, int], memo: int = 500_000):
         import ahocorasick
 
         self.ranks, self.memo_size = ranks, memo
@@ -122,6 +127,8 @@ class BytePairEncoder:
                     break
                 token = self.shorter[token]
                 if token < 0:  # nothing fits behind the last token: it was wrong
+                    if not out:
+                        break
                     dead[here] = 1
                     token = out.pop()
                     at = here - self.length[token]
@@ -132,6 +139,8 @@ class BytePairEncoder:
                         at -= self.length[token]
                         token = self.shorter[token]
                     break
+        if at != n:
+            raise ValueError(f"the vocabulary has no tokens for all bytes of {piece[:40]!r}")
         return out
 
     def decode(self, ids) -> bytes:
@@ -139,7 +148,7 @@ class BytePairEncoder:
 
 
 def tokenizer(raw: bytes, pattern: str):
-    """Text -> 4-byte ids as bytes, by pieces; and the encoder."""
+    """Text -> 4-byte ids as bytes, by pieces; the encoder; the ids as decimal strings."""
     from array import array
 
     import regex
@@ -149,7 +158,7 @@ def tokenizer(raw: bytes, pattern: str):
     def encode(parts):
         return [array("I", [i for m in matches(p) for i in e.encode(m.encode("utf-8"))]).tobytes() for p in parts]
 
-    return PieceCache(encode), e
+    return PieceCache(encode), e, [str(i) for i in range(len(e.bytes_of))]
 
 
 def encode_docs(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False) -> DataFrame:
@@ -157,7 +166,9 @@ def encode_docs(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = Fals
     themselves (array<int>) on demand.
 
     Null and empty texts give no ids, whose digests are those of the empty string.  Repeated rows are encoded alike.  Own
-    columns replace clashing ones; all others stay.  Narrow: no shuffle, memory is one Arrow batch and a bounded cache.
+    columns replace clashing ones; all others stay.  Narrow: no shuffle.  Rows leave in batches of about BATCH bytes of
+    text, or one longer text; a worker keeps one encoder and its bounded caches from task to task.  A vocabulary that lacks
+    a byte of a text fails.
     """
     own = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
     docs = docs.drop(*own)
@@ -167,21 +178,26 @@ def encode_docs(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = Fals
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["n_tokens long, ids_sha256 string, decoded_sha256 string"] + ["ids array<int>"] * ids)
 
     def task(batches):
-        cached = None
+        cached, e, names = kept(("bpe", pattern, zlib.crc32(raw.value)), lambda: tokenizer(raw.value, pattern))
         for b in batches:
-            if cached is None:
-                cached, e = tokenizer(raw.value, pattern)
-                names = [str(i) for i in range(len(e.bytes_of))]
-            n, sha, back, every = [], [], [], []
-            for text in b.column("text").to_pylist():
-                got = memoryview(cached(text or "")).cast("I").tolist()
+            start, n, sha, back, every, held = 0, [], [], [], [], 0
+            for row, text in enumerate(b.column("text")):
+                text = text.as_py() or ""
+                payload = cached(text)
+                got = memoryview(payload).cast("I").tolist()
                 n.append(len(got))
                 sha.append(hashlib.sha256(",".join(map(names.__getitem__, got)).encode()).hexdigest())
                 back.append(hashlib.sha256(e.decode(got)).hexdigest())
+                held += len(text)
                 if ids:
-                    every.append(got)
-            columns = [b.column(c) for c in keep] + [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())] + ([pa.array(every, pa.list_(pa.int32()))] if ids else [])
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *own])
+                    every.append(payload)
+                if held >= BATCH or row == b.num_rows - 1:
+                    columns = [b.column(c).slice(start, len(n)) for c in keep] + [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+                    if ids:
+                        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(every), np.int32))))
+                    yield pa.RecordBatch.from_arrays(columns, names=[*keep, *own])
+                    start, n, sha, back, every, held = row + 1, [], [], [], [], 0
 
     return docs.mapInArrow(task, out)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; a temporary one only where that is unset."""
+    """A fresh path in the folder that spark.checkpoint.dir names; a temporary one only in a local session where that is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
@@ -30,7 +33,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, and later stages survive lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, row_bytes: int, most_bytes: int = 32 << 20):
+    """Inside, Arrow batches of plans that run hold at most about most_bytes, given the bytes of the longest row."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, max(1, min(int(before) if int(before) > 0 else 10_000, most_bytes // max(1, row_bytes))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """name, longer where columns have it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def ascii_lower(text):

@@ -11,16 +11,16 @@ sets meet, they share a block of their own).  The order puts blocks last whose s
 that many documents share are then shown only by documents made of little else.  Which shingles count as frequent touches
 the cost alone, never the result.
 
-Shown blocks travel as packed arrays, dealt by hash; only those that two different sets show leave their bucket, as groups
-of sets, each group once a bucket.  Widespread ones may be shown by any number of sets; they are never brought together
-but go through aggregations and joins of written tables, which adaptive execution can split.
+Shown blocks travel as packed arrays, dealt by hash, in one pass; only those that two different sets show leave their
+bucket, as groups of sets.  Widespread ones may be shown by any number of sets; they are dealt by block and set, and their
+groups go through aggregations and joins of written tables, which adaptive execution can split.
 
 Verification.  First each group's leader is compared with its members: parity sketches rule pairs out whose Hamming
 distance is above 1/7 of their sizes, and whole sets, made again from the documents concerned, decide the rest.  Links make
-components.  Groups that still lie in several components are compared across them, small components against all, in
-tiles, in the same way.
-Pairs inside a component can't change it, so a large family of near copies never becomes all its pairs.
-Equal sets are one set from the start.
+components.  Components that groups hold together make families (a family of more than FAMILY sets stays in its groups).  A family's sets travel once, with their sketches, and are compared in tiles; a tile
+gives a forest, at most one row a set, of pairs that sketches do not rule out.  Trees that hold several components are
+compared in the same way with whole sets, and these tiles give a forest of links.  A pair inside a component is never
+looked at, so a large family of near copies never becomes all its pairs.  Equal sets are one set from the start.
 """
 
 from __future__ import annotations
@@ -33,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import arrow_rows, forget, fresh, read, written
 from .shingles import fold, mix, parity, portions, set_id, shingle_sets
 
 #: Share of the documents from which a shingle is widespread; times that one must be seen in a stretch, and in all, to be
 #: frequent; frequent shingles that are sent to executors.
 SPREAD, LOCAL, OFTEN, MOST_OFTEN = 1 / 2000, 3, 8, 1 << 20
-TILE = 256
+#: Sets of a family that is compared as one, sets and bytes of a tile's side, bytes of tiles that one call looks at.
+FAMILY, TILE, TILE_BYTES, BUNDLE_BYTES = 1 << 15, 4096, 24 << 20, 8 << 20
 BROADCAST_IDS = 500_000
 
 
@@ -101,12 +102,13 @@ def texts_of(batch) -> list[bytes]:
 
 
 def sketch_of(hashes: np.ndarray) -> bytes:
-    """Parity sketch of about four bits an element."""
-    return parity(hashes, max(256, 1 << (4 * len(hashes) - 1).bit_length())).tobytes() if len(hashes) else b""
+    """Parity sketch of one to two bits an element, 256 at least: of sets with similarity below 0.65 nearly all lie too far
+    apart."""
+    return parity(hashes, max(256, 1 << (len(hashes) - 1).bit_length())).tobytes() if len(hashes) else b""
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id, sketch of each row; and rows without them whose `often` holds shingles (and how many sets of a
+    """doc_id, row_hash (of the text), n_shingles, set_id, sketch of each row; and rows without them whose `often` holds shingles (and how many sets of a
     stretch of the task have them) that are frequent there."""
 
     def often(sets: dict[int, np.ndarray]) -> bytes:
@@ -116,8 +118,12 @@ def describe(docs: DataFrame) -> DataFrame:
         keep = n >= LOCAL
         return np.stack([h[keep], n[keep].astype(np.uint64)]).tobytes()
 
-    def row(ids, n, sid, sketch, freq):
-        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sketch, pa.binary()), pa.array(freq, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sketch", "often"])
+    def row(ids, own, n, sid, sketch, freq):
+        return pa.RecordBatch.from_arrays([ids, own, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sketch, pa.binary()), pa.array(freq, pa.binary())], names=["doc_id", "row_hash", "n_shingles", "set_id", "sketch", "often"])
+
+    def end(held):
+        none = pa.nulls(1, pa.int64())
+        return row(none, none, [None], [None], [None], [often(held)])
 
     def task(batches):
         held: dict[int, np.ndarray] = {}
@@ -133,12 +139,18 @@ def describe(docs: DataFrame) -> DataFrame:
                         held[i] = s
                         size += len(s)
                 if size > 3_000_000:
-                    yield row(pa.nulls(1, pa.int64()), [None], [None], [None], [often(held)])
+                    yield end(held)
                     held, size = {}, 0
-            yield row(b.column("doc_id"), n, sid, sketch, [None] * len(n))
-        yield row(pa.nulls(1, pa.int64()), [None], [None], [None], [often(held)])
+            yield row(b.column("doc_id"), b.column("row_hash"), n, sid, sketch, [None] * len(n))
+        yield end(held)
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash().alias("row_hash"), "text")
+    return rows.mapInArrow(task, "doc_id long, row_hash long, n_shingles long, set_id long, sketch binary, often binary")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, n_shingles long, set_id long, sketch binary, often binary")
+def text_hash():
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def frequent(described: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,29 +170,29 @@ def frequent(described: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]
     return h[order], n[order] >= max(OFTEN, n_docs * SPREAD)
 
 
-def show(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], buckets: int, wide: bool) -> DataFrame:
-    """Shown blocks that are widespread, or those that aren't, packed: bucket, keys (48 bits each), owners (places in ids;
-    top bit: upper band), ids, sizes."""
+def show(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """Shown blocks, packed: bucket, wide (are they widespread), keys (48 bits each), owners (places in ids; top bit: upper
+    band), ids.  Widespread blocks are dealt by block and set, others by block."""
     known = docs.sparkSession.sparkContext.broadcast(often)  # at most MOST_OFTEN hashes
 
-    def pack(keys, owners, ids, sizes):
-        keys, owners = np.concatenate(keys), np.concatenate(owners)
-        bucket = (keys % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket, keys, owners = bucket[order], keys[order], owners[order]
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        ids, sizes, rows = np.array(ids, np.int64), np.array(sizes, np.int32), []
+    def pack(keys, owners, wide, ids):
+        keys, owners, wide = np.concatenate(keys), np.concatenate(owners), np.concatenate(wide)
+        ids, rows = np.array(ids, np.int64), []
+        bucket = (np.where(wide, mix(keys ^ ids[owners & np.uint16(0x7FFF)].view(np.uint64)), keys) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(2 * bucket + wide, kind="stable")
+        bucket, wide, keys, owners = bucket[order], wide[order], keys[order], owners[order]
+        at = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (wide[1:] != wide[:-1])]))
         for a, b in zip(at, [*at[1:], len(keys)]):
             used, local = np.unique(owners[a:b] & np.uint16(0x7FFF), return_inverse=True)
             local = local.astype(np.uint16) | (owners[a:b] & np.uint16(0x8000))
             low, high = keys[a:b].astype(np.uint32), (keys[a:b] >> np.uint64(32)).astype(np.uint16)
-            rows.append((int(bucket[a]), low.tobytes() + high.tobytes(), local.tobytes(), ids[used].tobytes(), sizes[used].tobytes()))
-        types = (pa.int32(), *[pa.binary()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "keys", "owners", "ids", "sizes"])
+            rows.append((int(bucket[a]), bool(wide[a]), low.tobytes() + high.tobytes(), local.tobytes(), ids[used].tobytes()))
+        types = (pa.int32(), pa.bool_(), *[pa.binary()] * 3)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "wide", "keys", "owners", "ids"])
 
     def task(batches):
         seen: set[int] = set()
-        keys, owners, ids, sizes, held = [], [], [], [], 0
+        keys, owners, wide, ids, held = [], [], [], [], 0
         for b in batches:
             for some in portions(texts_of(b)):
                 for s in shingle_sets(some):
@@ -191,86 +203,84 @@ def show(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], buckets: int, wi
                         seen.clear()
                     seen.add(i)
                     for k, w, upper in shown(s, *known.value):
-                        k = k[w == wide]
                         keys.append(k)
                         owners.append(np.full(len(k), len(ids) | (0x8000 if upper else 0), np.uint16))
+                        wide.append(w)
                         held += len(k)
                     ids.append(i)
-                    sizes.append(len(s))
                     if held > 1_000_000 or len(ids) == 0x7FFF:
-                        if held:
-                            yield pack(keys, owners, ids, sizes)
-                        keys, owners, ids, sizes, held = [], [], [], [], 0
+                        yield pack(keys, owners, wide, ids)
+                        keys, owners, wide, ids, held = [], [], [], [], 0
         if held:
-            yield pack(keys, owners, ids, sizes)
+            yield pack(keys, owners, wide, ids)
 
-    return docs.select("text").mapInArrow(task, "bucket int, keys binary, owners binary, ids binary, sizes binary")
+    return docs.select("text").mapInArrow(task, "bucket int, wide boolean, keys binary, owners binary, ids binary")
 
 
-def unpack(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """keys, set ids, sizes, upper"""
+def unpack(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """keys, set ids, upper"""
     owner = np.frombuffer(r["owners"], np.uint16)
     at = owner & np.uint16(0x7FFF)
     n = len(owner)
     key = np.frombuffer(r["keys"], np.uint32, n).astype(np.uint64) | np.frombuffer(r["keys"], np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
-    return key, np.frombuffer(r["ids"], np.int64)[at], np.frombuffer(r["sizes"], np.int32)[at], owner >= np.uint16(0x8000)
+    return key, np.frombuffer(r["ids"], np.int64)[at], owner >= np.uint16(0x8000)
 
 
-GROUP = "grp long, leader long, leader_n int, member long, member_n int"
+GROUP = "grp long, leader long, member long, upper boolean, many boolean"
 
 
 def meet(shown_blocks: DataFrame) -> DataFrame:
-    """Groups of different sets that show a block which isn't widespread: a row for each member but the leader (the set
-    of the lower band with the smallest id).  Groups with the same members are one."""
-
-    def bucket(t: pa.Table) -> pa.Table:
-        parts = [unpack(r) for b in t.select(["keys", "owners", "ids", "sizes"]).to_batches() for r in b.to_pylist()]
-        key, sid, size, upper = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        again = np.zeros(len(key), bool)
-        again[1:] = key[1:] == key[:-1]
-        again[:-1] |= again[1:]
-        order, key = order[again], key[again]
-        sid, size, upper = sid[order], size[order], upper[order]
+    """Groups of different sets that show a block: grp, leader, member, many (are there more than two?), a row for each member
+    but the leader (the set of the lower band with the smallest id).  Groups with the same members are one a bucket, but for
+    widespread blocks."""
+
+    def gathered(rows, twice):
+        """key, set id, upper, sorted and distinct; twice: only keys that are there more than once."""
+        key, sid, upper = (np.concatenate(x) for x in zip(*map(unpack, rows)))
+        if twice:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            again = np.zeros(len(key), bool)
+            again[1:] = key[1:] == key[:-1]
+            again[:-1] |= again[1:]
+            order, key = order[again], key[again]
+            sid, upper = sid[order], upper[order]
         order = np.lexsort((sid, upper, key))
-        key, sid, size, upper = key[order], sid[order], size[order], upper[order]
+        key, sid, upper = key[order], sid[order], upper[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
-        key, sid, size, upper = key[new], sid[new], size[new], upper[new]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        count = np.diff(np.append(start, len(key)))
-        with np.errstate(over="ignore"):
-            same = np.add.reduceat(mix(sid.view(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
-        good = np.flatnonzero((count > 1) & ~upper[start])
-        good = np.isin(np.arange(len(start)), good[np.unique(same[good], return_index=True)[1]])
-        leads = np.repeat(start, count)
-        rows = np.repeat(good, count)
-        rows[start] = False
-        return pa.table({"grp": np.repeat(same, count)[rows].view(np.int64), "leader": sid[leads][rows], "leader_n": size[leads][rows], "member": sid[rows], "member_n": size[rows]})
+        return key[new], sid[new], upper[new]
 
-    return shown_blocks.groupBy("bucket").applyInArrow(bucket, GROUP)
-
-
-def meet_widespread(shown_blocks: DataFrame) -> DataFrame:
-    """The same for widespread blocks, whose groups may be of any size: by aggregations and joins."""
-
-    def rows(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                key, sid, size, upper = unpack(r)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid), pa.array(size), pa.array(upper)], names=["grp", "member", "member_n", "upper"])
-
-    each = shown_blocks.select("keys", "owners", "ids", "sizes").mapInArrow(rows, "grp long, member long, member_n int, upper boolean").distinct()
-    each = written(each, "near-wide")
-    lead = each.groupBy("grp").agg(F.min(F.struct("upper", "member", "member_n")).alias("l"), F.count("*").alias("k")).where("k > 1 and not l.upper")
-    lead = written(lead.select(F.col("grp").alias("g"), F.col("l.member").alias("leader"), F.col("l.member_n").alias("leader_n")), "near-leads")
-    return each.join(lead, F.col("grp") == F.col("g")).where("member <> leader").select("grp", "leader", "leader_n", "member", "member_n")
+    def bucket(t: pa.Table) -> pa.Table:
+        rows = t.select(["wide", "keys", "owners", "ids"]).to_pylist()
+        out = []
+        if some := [r for r in rows if r["wide"]]:
+            key, sid, upper = gathered(some, False)
+            out.append(pa.table({"grp": key.view(np.int64), "leader": pa.nulls(len(key), pa.int64()), "member": sid, "upper": upper, "many": np.ones(len(key), bool)}))
+        if some := [r for r in rows if not r["wide"]]:
+            key, sid, upper = gathered(some, True)
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            count = np.diff(np.append(start, len(key)))
+            with np.errstate(over="ignore"):
+                same = np.add.reduceat(mix(sid.view(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
+            good = np.flatnonzero((count > 1) & ~upper[start])
+            good = np.isin(np.arange(len(start)), good[np.unique(same[good], return_index=True)[1]])
+            leads = np.repeat(start, count)
+            at = np.repeat(good, count)
+            at[start] = False
+            out.append(pa.table({"grp": np.repeat(same, count)[at].view(np.int64), "leader": sid[leads][at], "member": sid[at], "upper": upper[at], "many": np.repeat(count > 2, count)[at]}))
+        return pa.concat_tables(out)
+
+    made = written(shown_blocks.groupBy("bucket").applyInArrow(bucket, GROUP), "near-met")
+    wide = made.where("leader is null")
+    lead = wide.groupBy("grp").agg(F.min(F.struct("upper", "member")).alias("l"), F.count("*").alias("k")).where("k > 1 and not l.upper")
+    lead = written(lead.select(F.col("grp").alias("g"), F.col("l.member").alias("first"), (F.col("k") > 2).alias("more")), "near-leads")
+    wide = wide.join(lead, F.col("grp") == F.col("g")).where("member <> first").select("grp", F.col("first").alias("leader"), "member", F.col("more").alias("many"))
+    return made.where("leader is not null").select("grp", "leader", "member", "many").union(wide)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_id, hashes of the documents whose ids are wanted (doc_id)."""
+    """set_id, hashes of the documents whose ids are wanted (doc_id); more than once where rows share an id."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     wanted = written(wanted, "near-wanted")
     few = wanted.count() <= BROADCAST_IDS
@@ -284,7 +294,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 seen.update(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["set_id", "hashes"])
 
-    return texts.mapInArrow(task, "set_id long, hashes binary").dropDuplicates(["set_id"])
+    return texts.mapInArrow(task, "set_id long, hashes binary")
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -304,29 +314,39 @@ def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("a", "b", "l_n", "r_n", "l_s", "r_s").mapInArrow(task, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    m = np.concatenate([x, y])
+    m.sort(kind="stable")
+    shared = int((m[1:] == m[:-1]).sum())
+    return 100 * shared >= 75 * (len(m) - shared)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, sketches: DataFrame) -> DataFrame:
     """a, b of the pairs (a, b) whose sets are similar: the documents that stand for them (reps: set_id, rep) are read once
     more and whole sets intersected."""
-    pairs = written(pairs.distinct(), "near-pairs")
-    if pairs.isEmpty():
+    ids = written(pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct(), "near-ids")
+    longest = sketches.join(ids, F.col("set_id") == F.col("i"), "left_semi").agg(F.max("n")).first()[0]
+    if longest is None:
         return pairs
-    ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
-    sets = written(sets_of(docs, reps.join(ids, F.col("set_id") == F.col("i")).select(F.col("rep").alias("doc_id"))), "near-sets")
+    sets = whole_sets(docs, reps, ids)
     one = sets.select(F.col("set_id").alias("i"), F.col("hashes").alias("left"))
     two = sets.select(F.col("set_id").alias("j"), F.col("hashes").alias("right"))
     both = pairs.join(one, F.col("a") == F.col("i")).select("a", "b", "left").join(two, F.col("b") == F.col("j")).select("a", "b", "left", "right")
 
     def task(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist()):
-                m = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                m.sort(kind="stable")
-                shared = int((m[1:] == m[:-1]).sum())
-                keep.append(100 * shared >= 75 * (len(m) - shared))
+            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column("left"), b.column("right"))]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(both.mapInArrow(task, "a long, b long"), "near-links")
+    with arrow_rows(docs.sparkSession, 16 * longest):
+        links = written(both.mapInArrow(task, "a long, b long"), "near-links")
+    forget(sets, ids)
+    return links
+
+
+def whole_sets(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """set_id, hashes of the sets whose ids are given (i)."""
+    return written(sets_of(docs, reps.join(ids, F.col("set_id") == F.col("i")).select(F.col("rep").alias("doc_id")).distinct()), "near-sets")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -335,98 +355,192 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, before = written(edges, "stars"), None
     while True:
-        both = written(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "stars")
-        low = written(both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m")), "stars")
-        large = written(both.join(low, F.col("u") == F.col("w")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
-        low = written(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "stars")
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
+        large = written(both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("w"))
-        edges = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "stars")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        after = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "stars")
+        now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        forget(edges, large)
+        edges = after
         if now == before:
             break
         before = now
-    return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v"))).distinct(), "roots")
-
-
-def rest(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of groups that still lie in several components, across components and not ruled out by sketches."""
-    leads = groups.select("grp", F.col("leader").alias("s"), F.col("leader_n").alias("n")).distinct()
-    each = groups.select("grp", F.col("member").alias("s"), F.col("member_n").alias("n")).union(leads)
-    each = written(each, "near-members")
-    each = written(each.join(roots, F.col("s") == F.col("node"), "left").select("grp", "s", "n", F.coalesce("root", "s").alias("root")), "near-members")
-    parts = each.groupBy("grp", "root").count().groupBy("grp").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("k"), F.max("count").alias("most"), F.count("*").alias("parts"))
-    # Groups of three and more only: of two, the pair has been looked at.
-    parts = written(parts.where("parts > 1 and k > 2").select(F.col("grp").alias("g"), "main", "k", F.ceil((F.col("k") - F.col("most")) / TILE).cast("int").alias("tiles")), "near-mixed")
-    if parts.isEmpty():
-        return each.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0)
-    mixed = each.join(parts, F.col("grp") == F.col("g")).drop("g")
-    mixed = mixed.join(sketches.select("set_id", "sketch"), F.col("s") == F.col("set_id")).drop("set_id")
-    mixed = written(mixed, "near-mixed")
-    cut = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "s"), n).cast("int")
-    minor = mixed.where("root <> main").withColumn("tile", cut(1, F.col("tiles"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("k") / 4096).cast("int") - 1)))
-    whole = mixed.withColumn("part", cut(2, F.ceil(F.col("k") / 4096))).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-
-    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [], []
-        if left.num_rows and right.num_rows:
-            raw = [[np.frombuffer(x, np.uint64) for x in t["sketch"].to_pylist()] for t in (left, right)]
-            words = min(len(x) for xs in raw for x in xs)
-            one, two = (np.stack([fold(x, words) for x in xs]) for xs in raw)
-            (s1, n1, r1), (s2, n2, r2) = ([t[c].to_numpy() for c in ("s", "n", "root")] for t in (left, right))
-            for k in range(len(s1)):
-                ok = (r2 != r1[k]) & (4 * np.minimum(n2, n1[k]) >= 3 * np.maximum(n2, n1[k]))
-                at = np.flatnonzero(ok)
-                far = np.bitwise_count(two[at] ^ one[k]).sum(1)
-                at = at[7 * far <= n1[k] + n2[at]]
-                a.append(np.full(len(at), s1[k]))
-                b.append(s2[at])
-        a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    columns = ["grp", "tile", "part", "s", "n", "root", "sketch"]
-    keys = columns[:3]
-    return minor.select(columns).groupBy(*keys).cogroup(whole.select(columns).groupBy(*keys)).applyInArrow(tile, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id of the component), one row a row.
-
-    Null and empty texts, and texts without words, have no shingles and are alone; a row with a null doc_id counts in its
-    component but never names it unless all its rows have null ids.  Repeated rows are equal sets.  An empty table gives an
-    empty result.  Columns but doc_id and text are not looked at.
-    """
+    roots = written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v"))).distinct(), "roots")
+    forget(edges)
+    return roots
+
+
+def forest(s, n, root, part, sketches: list[np.ndarray], hashes: list[np.ndarray] | None) -> list[tuple[int, int]]:
+    """Pairs of a tile whose parts of a family differ (or all, in a tile of one part) and that join components: of sets that
+    sketches do not rule out, or, where hashes are given, of similar sets.  At most one pair a set.  In order of size, sets
+    that can be similar stand side by side, and sketches are at most twice as wide as that of the smallest."""
+    order = np.lexsort((s, n))
+    s, n, part = s[order], n[order], part[order]
+    label = np.unique(root[order], return_inverse=True)[1]
+    cross, found = bool((part != part[0]).any()), []
+    upto = np.searchsorted(n, 4 * n // 3, side="right")
+    width = np.array([len(sketches[i]) for i in order])
+    first = {int(w): int(np.searchsorted(width, w)) for w in np.unique(width)}
+    last = {w: int(np.searchsorted(width, w, side="right")) for w in first}
+    own = {w: np.stack([sketches[i] for i in order[first[w] : last[w]]]) for w in first}
+    twice = {w: fold_rows(own[2 * w]) for w in first if 2 * w in own}
+    for i in range(len(s) - 1):
+        ok = label[i + 1 : upto[i]] != label[i]
+        if cross:
+            ok &= part[i + 1 : upto[i]] != part[i]
+        at = np.flatnonzero(ok) + i + 1
+        if not len(at):
+            continue
+        w = int(width[i])
+        mine, k = own[w][i - first[w]], int(np.searchsorted(at, last[w]))
+        far = [np.bitwise_count(own[w][at[:k] - first[w]] ^ mine).sum(1)]
+        if k < len(at):
+            far.append(np.bitwise_count(twice[w][at[k:] - last[w]] ^ mine).sum(1))
+        for j in at[7 * np.concatenate(far).astype(np.int64) <= n[i] + n[at]].tolist():
+            if label[j] != label[i] and (hashes is None or similar(hashes[order[i]], hashes[order[j]])):
+                found.append((int(s[i]), int(s[j])))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def fold_rows(sketches: np.ndarray) -> np.ndarray:
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
+
+def tiled(sets: DataFrame, size) -> DataFrame:
+    """unit, s, n, root (size: bytes that a set takes) dealt into tiles (unit, i, j) whose sides are parts of a unit, and tiles
+    into bundles.  Units of one component are left out, and sets of a unit's main component meet the others only."""
+    roots = sets.withColumn("bytes", size).groupBy("unit", "root").agg(F.count("*").alias("k"), F.sum("bytes").alias("b"))
+    sides = lambda k, b: F.ceil(F.greatest(k / TILE, b / TILE_BYTES)).cast("int")
+    units = roots.groupBy("unit").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max(F.struct("k", "root", "b")).alias("m"), F.sum("k").alias("k"), F.sum("b").alias("b"), F.count("*").alias("roots")).where("roots > 1")
+    one, rest_k, rest_b = sides(F.col("k"), F.col("b")) <= 1, F.col("k") - F.col("m.k"), F.col("b") - F.col("m.b")
+    units = units.select(F.col("unit").alias("_unit"), "main", "k", "b", F.when(one, F.col("b")).otherwise(rest_b).alias("rest"), F.when(one, 1).otherwise(sides(rest_k, rest_b)).alias("minor"), F.when(one, 0).otherwise(sides(F.col("m.k"), F.col("m.b"))).alias("major"))
+    units = written(units, "near-units")
+    held = units.agg(F.coalesce(F.sum(F.col("rest") * (F.col("minor") + F.col("major")) + (F.col("b") - F.col("rest")) * F.col("minor")), F.lit(0))).first()[0]
+    deal = lambda k: F.pmod(F.xxhash64(F.lit(1), "s"), k).cast("int")
+    rows = sets.join(units, F.col("unit") == F.col("_unit")).drop("_unit", "k", "b", "rest")
+    main = (F.col("major") > 0) & (F.col("root") == F.col("main"))
+    rows = rows.withColumn("part", F.when(main, F.col("minor") + deal(F.greatest("major", F.lit(1)))).otherwise(deal(F.col("minor"))))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(main, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1)))
+    rows = rows.withColumn("i", F.least("part", "with")).withColumn("j", F.greatest("part", "with")).drop("with", "main", "minor", "major")
+    return written(rows.withColumn("bundle", F.pmod(F.xxhash64("unit", "i", "j"), F.lit(int(held) // BUNDLE_BYTES + 1))), "near-tiles")
+
+
+def joined(tiles: DataFrame, payload: DataFrame) -> DataFrame:
+    """a, b: the forests of the tiles.  payload: set_id with its sketch, or with its hashes."""
+    whole = "hashes" in payload.columns
+
+    def bundle(t: pa.Table) -> pa.Table:
+        unit, i, j, s, n, root, part = (t[c].to_numpy() for c in ("unit", "i", "j", "s", "n", "root", "part"))
+        hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["payload"]]
+        order, found = np.lexsort((j, i, unit)), []
+        new = np.ones(len(order), bool)
+        for c in (unit[order], i[order], j[order]):
+            new[1:] &= c[1:] == c[:-1]
+        starts = np.flatnonzero(~new | (np.arange(len(order)) == 0))
+        for a, b in zip(starts, [*starts[1:], len(order)]):
+            at = order[a:b]
+            if len(at) > 1:
+                own = [hashes[x] for x in at]
+                sketches = [np.frombuffer(sketch_of(h), np.uint64) for h in own] if whole else own
+                found += forest(s[at], n[at], root[at], part[at], sketches, own if whole else None)
+        return pa.table({c: pa.array([f[k] for f in found], pa.int64()) for k, c in enumerate("ab")})
+
+    rows = tiles.join(payload.toDF("_s", "payload"), F.col("s") == F.col("_s")).select("bundle", "unit", "i", "j", "part", "s", "n", "root", "payload")
+    return written(rows.groupBy("bundle").applyInArrow(bundle, "a long, b long"), "near-forest")
+
+
+def rest(groups: DataFrame, pairs: DataFrame, roots: DataFrame, sketches: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """a, b: links that join the components that groups lie in; None where no group lies in several.  Two sets of a group are
+    in one family, since their components are both joined to the leader's; groups of two have been looked at."""
+    root_of = lambda d, c, name: d.join(roots.toDF("_n", "_r"), F.col(c) == F.col("_n"), "left").withColumn(name, F.coalesce("_r", c)).drop("_n", "_r")
+    apart = root_of(root_of(pairs.where("many").select("a", "b"), "a", "x"), "b", "y").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    apart = written(apart, "near-apart")
+    if apart.isEmpty():
+        return None
+    family = components(apart)
+    members = root_of(sketches.select(F.col("set_id").alias("s"), "n"), "s", "root").join(family.toDF("_node", "family"), F.col("root") == F.col("_node")).drop("_node")
+    members = written(members, "near-members")
+    sizes = members.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > FAMILY)
+    large = written(sizes.select(F.col("family").alias("f")), "near-large")
+    units = members.join(large, F.col("family") == F.col("f"), "left_anti").select(F.col("family").alias("unit"), "s", "n", "root")
+    if not large.isEmpty():
+        each = groups.select("grp", F.col("member").alias("g")).union(groups.select("grp", "leader")).distinct()
+        some = members.join(large, F.col("family") == F.col("f"), "left_semi").join(each, F.col("s") == F.col("g"))
+        units = units.union(some.select(F.col("grp").alias("unit"), "s", "n", "root"))
+    trees = joined(tiled(written(units, "near-units"), F.col("n") / 4 + 100), sketches.select("set_id", "sketch"))
+    if trees.isEmpty():
+        return None
+    inside = members.where("s <> root").select(F.col("s").alias("a"), F.col("root").alias("b"))
+    tree = components(trees.union(inside))
+    # Sets of trees that hold several components, with whole sets.
+    sets = members.select("s", "n", "root").join(tree.toDF("_node", "unit"), F.col("s") == F.col("_node")).drop("_node")
+    several = sets.groupBy(F.col("unit").alias("u")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("u")
+    sets = written(sets.join(several, F.col("unit") == F.col("u"), "left_semi"), "near-trees")
+    hashes = sets_of(docs, reps.join(sets, F.col("set_id") == F.col("s"), "left_semi").select(F.col("rep").alias("doc_id")).distinct())
+    return joined(tiled(sets, 8 * F.col("n") + 100), hashes)
+
+
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row_hash, n_shingles, set_id), and sets with copies or links: of (their id), component_id, and first,
+    the row of the component that comes first (id null, id, row hash)."""
     described = written(describe(docs), "near-described")
     rows = described.where("n_shingles is not null")
     n_docs, n_all = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     often = frequent(described, n_docs)
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_all // 1_500_000)
-    groups = meet(show(docs, often, buckets, wide=False))
-    if often[1].any():
-        groups = groups.union(meet_widespread(show(docs, often, buckets, wide=True)))
-    groups = written(groups, "near-groups")
-    reps = written(rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "near-reps")
-    ids = written(groups.select(F.col("member").alias("i")).union(groups.select("leader")).distinct(), "near-ids")
+    groups = meet(show(docs, often, buckets))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_hash").alias("hash"))
+    reps = written(rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min(place).alias("place"), F.count("*").alias("copies")), "near-reps")
+    pairs = groups.groupBy(F.least("leader", "member").alias("a"), F.greatest("leader", "member").alias("b")).agg(F.max("many").alias("many"))
+    pairs = written(pairs, "near-stars")
+    ids = written(pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct(), "near-ids")
     sketches = rows.join(ids, F.col("set_id") == F.col("i"), "left_semi").groupBy("set_id").agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
     sketches = written(sketches, "near-sketches")
-    pairs = groups.select(F.least("leader", "member").alias("a"), F.greatest("leader", "member").alias("b")).distinct()
-    links = verify(plausible(written(pairs, "near-stars"), sketches), docs, reps)
+    links = verify(written(plausible(pairs, sketches).distinct(), "near-pairs"), docs, reps, sketches)
     roots = components(links)
-    more = verify(rest(groups, roots, sketches), docs, reps)
-    if not more.isEmpty():
+    more = rest(groups, pairs, roots, sketches, docs, reps)
+    if more is not None and not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     named = reps.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
     # Only sets with copies or links need a name; a component's name is the smallest of its sets' names.
     named = written(named.where("copies > 1 or node is not null"), "near-named")
-    least = written(named.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("component_id")), "near-names")
-    named = written(named.join(least, F.col("root") == F.col("r")).select(F.col("set_id").alias("of"), "component_id"), "near-named")
-    rows = rows.select("doc_id", "n_shingles", "set_id")
-    return rows.join(named, (F.col("set_id") == F.col("of")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = written(named.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("component_id"), F.min("place").alias("first")), "near-names")
+    return rows.select("doc_id", "row_hash", "n_shingles", "set_id"), written(named.join(least, F.col("root") == F.col("r")).select(F.col("set_id").alias("of"), "component_id", "first"), "near-named")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id of the component), one row a row.
+
+    Null and empty texts, and texts without words, have no shingles and are alone; a row with a null doc_id counts in its
+    component but never names it unless all its rows have null ids.  Repeated rows are equal sets.  An empty table gives an
+    empty result.  A long text is hashed in parts; its set, 8 bytes a shingle, is held whole.  Columns but doc_id and text
+    are not looked at.
+    """
+    rows, named = linked(docs)
+    of = (F.col("set_id") == F.col("of")) & (F.col("n_shingles") > 0)
+    return rows.join(named, of, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id.  All columns stay."""
-    gone = written(near_duplicates(docs).where("component_id <> doc_id or doc_id is null and component_id is not null").select(F.col("doc_id").alias("_gone")), "near-gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """docs with one row of each component: the one with the smallest doc_id (null last), then the smallest hash of its text;
+    of rows alike in both one.  Rows without words are nobody's copies and stay.  All columns stay, whatever their names."""
+    rows, named = linked(docs)
+    rows = rows.where("n_shingles > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_hash").alias("hash"))
+    later = F.coalesce(F.max(place != F.col("first")), F.lit(False)).alias("gone")
+    marked = rows.join(named, F.col("set_id") == F.col("of"), "left").groupBy("doc_id", "row_hash").agg(later, F.count("*").alias("times"))
+    mine, of, its = (fresh(docs.columns, c) for c in ("_hash", "_of", "_its"))
+    marked = written(marked.where("gone or times > 1").select(F.col("doc_id").alias(of), F.col("row_hash").alias(its), "gone"), "near-gone")
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(mine) == F.col(its))
+    gone, again = (marked.where(c).drop("gone") for c in ("gone", "not gone"))
+    left = docs.withColumn(mine, text_hash()).join(gone, same, "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", mine]))
+    return left.drop(mine)
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

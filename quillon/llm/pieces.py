@@ -31,7 +31,7 @@ def kept(key: tuple, make: Callable):
 class PieceCache:
     """Text -> payload bytes, by parts.  encode(list of parts) -> list of bytes; keep: parts remembered at most."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], keep: int = 1_000_000, longest: int = 40):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], keep: int = 400_000, longest: int = 40):
         self.encode, self.keep, self.longest, self.seen = encode, keep, longest, {}
 
     def __call__(self, text: str) -> bytes:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
-WORDS = 5
+#: Words of a shingle, and bytes that are looked at together.
+WORDS, LONGEST = 5, 1 << 21
+CUT = re.compile(rb"[ \t\n\x0b\x0c\r]")
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -21,20 +25,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0..n-1 modulo 2 ** 64."""
-    if len(_powers.get(base, ())) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
-        steps[0] = 1
-        with np.errstate(over="ignore"):
-            _powers[base] = np.cumprod(steps)
-    return _powers[base][:n]
+    """base ** 0..n-1 modulo 2 ** 64; a worker keeps those up to LONGEST."""
+    if len(_powers.get(base, ())) >= n:
+        return _powers[base][:n]
+    steps = np.full(max(n, LONGEST), base, np.uint64)
+    steps[0] = 1
+    with np.errstate(over="ignore"):
+        steps = np.cumprod(steps)
+    if n <= LONGEST:
+        _powers[base] = steps
+    return steps[:n]
 
 
-def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its runs of `words` words (A-Z lower-cased; words stand between white
-    space); with fewer words one hash of the whole sequence; without words nothing.  Equal hashes of different runs are
-    as likely as any two 64-bit numbers being equal."""
-    data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of lower-case bytes that end in white space, and where the words start."""
     space = SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
@@ -42,15 +46,40 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     start, end = edge[0::2], edge[1::2]
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)))])
-        word = mix((total[end] - total[start]) * powers(BACK, len(data))[start] + (end - start).astype(np.uint64) * STEP)
-        n = len(word)
-        gram = np.zeros(n, np.uint64)
-        m = max(0, n - words + 1)
+        return mix((total[end] - total[start]) * powers(BACK, len(data))[start] + (end - start).astype(np.uint64) * STEP), start
+
+
+def long_words(text: bytes) -> np.ndarray:
+    """word_hashes of a text of any length, cut at white space into parts of about LONGEST bytes."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + LONGEST
+        if end < len(text):
+            found = CUT.search(text, end)
+            end = found.end() if found else len(text)
+        out.append(word_hashes(np.frombuffer(text[at:end].lower() + b"\n", np.uint8))[0])
+        at = end
+    return np.concatenate(out)
+
+
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of `words` words (A-Z lower-cased; words stand between white
+    space); with fewer words one hash of the whole sequence; without words nothing.  Equal hashes of different runs are
+    as likely as any two 64-bit numbers being equal.  A text above LONGEST bytes stands alone and takes about 40 bytes a
+    word beside itself."""
+    if len(texts) == 1 and len(texts[0]) > LONGEST:
+        word, first = long_words(texts[0]), [0]
+        first.append(len(word))
+    else:
+        word, start = word_hashes(np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8))
+        first = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+    with np.errstate(over="ignore"):
+        m = max(0, len(word) - words + 1)
+        gram = np.zeros(m, np.uint64)
         for i in range(words):
-            gram[:m] = gram[:m] * STEP + word[i : i + m]
+            gram *= STEP
+            gram += word[i : i + m]
         gram = mix(gram)
-    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    first = np.searchsorted(start, begin).tolist()
     out = []
     for a, b in zip(first, first[1:]):
         if b - a >= words:
@@ -67,9 +96,12 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
 
 
 def portions(texts: list[bytes], size: int = 1 << 20):
-    """Runs of texts of about `size` bytes, so that the arrays stay small."""
+    """Runs of texts of about `size` bytes, so that the arrays stay small; a text above LONGEST is one alone."""
     some, held = [], 0
     for t in texts:
+        if some and len(t) > LONGEST:
+            yield some
+            some, held = [], 0
         some.append(t)
         held += len(t)
         if held >= size:
