@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of the contracts, as a regular-expression class body.
@@ -65,6 +65,18 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def sampled(rows: DataFrame, group: str, most: int, buckets: int = 1 << 16) -> DataFrame:
+    """The rows of each group whose ids (doc_id) hash lowest: whole buckets of hashes as long as they hold at most `most` ids
+    (at least one bucket).  Counts of buckets combine before they are shuffled; no group is brought together."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
+    n = rows.groupBy(F.col(group).alias("_group"), at.alias("_at")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_group").orderBy("_at"))
+    first = F.row_number().over(Window.partitionBy("_group").orderBy("_at")) == 1
+    ends = n.select("_group", "_at", upto.alias("_upto"), first.alias("_first")).where((F.col("_upto") <= most) | F.col("_first"))
+    ends = ends.groupBy("_group").agg(F.max("_at").alias("_end"))
+    return rows.join(F.broadcast(ends), (F.col(group) == F.col("_group")) & (at <= F.col("_end"))).drop("_group", "_end")  # one row a group
+
+
 def ascii_lower(text):
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, LOWER)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import fresh, read, written
 
 DELETE = b" \t\n\x0b\x0c\r"
 LEAST, MOST, MASK = 512, 16_384, np.uint32(0x7FF << 21)
@@ -126,12 +126,13 @@ def decisions(docs: DataFrame, size: int = 16) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """docs without the rows that an equal text replaces; of rows alike in id and text one stays.  All columns stay."""
     made = written(decisions(docs).select("doc_id", "row_hash", "best", "times"), "exact")
-    gone = made.where(~F.col("best")).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"))
-    kept = docs.withColumn("_mine", row_hash())
-    kept = kept.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_hash")), "left_anti")
+    mine, its, own = (fresh(docs.columns, c) for c in ("_mine", "_its", "_own"))
+    gone = made.where(~F.col("best")).select(F.col("doc_id").alias(its), F.col("row_hash").alias(own))
+    kept = docs.withColumn(mine, row_hash())
+    kept = kept.join(gone, F.col("doc_id").eqNullSafe(F.col(its)) & (F.col(mine) == F.col(own)), "left_anti")
     if not made.where(F.col("best") & (F.col("times") > 1)).isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_mine"])
-    return kept.drop("_mine")
+        kept = kept.dropDuplicates(["doc_id", mine])
+    return kept.drop(mine)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

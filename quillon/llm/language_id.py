@@ -4,7 +4,7 @@ A profile is the list of a language's most frequent letter n-grams (1 to 3 lette
 own list is made in the same way from its whole text, and its distance to a language is the sum, over its n-grams, of how
 far each is out of place in the language's list; n-grams that are not there count as the list's length.
 
-Profiles are learnt from SAMPLE documents of each language (the first by a hash of doc_id): a bounded sample, of which
+Profiles are learnt from about SAMPLE documents of each language (the first by a hash of doc_id): a bounded sample, of which
 each task counts n-grams before anything is shuffled.  Languages x TOP n-grams go to every executor.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, text_of
+from .common import read, sampled, text_of
 
 #: Documents of each language that profiles are learnt from, n-grams in a profile, characters looked at together.
 SAMPLE, TOP, PORTION = 2000, 300, 1_000_000
@@ -84,10 +84,8 @@ def predict(text: str, profiles: dict[str, tuple[np.ndarray, np.ndarray]]) -> tu
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """doc_id, text, lang -> profiles.  Rows without lang or text teach nothing."""
-    spark = labelled.sparkSession
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample)
-    chosen = labelled.select("doc_id", "text", F.col("lang").alias("_lang")).join(F.broadcast(ids.select("doc_id", "lang").distinct()), "doc_id", "left_semi")
+    some = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("lang").alias("_lang"))
+    chosen = sampled(some, "_lang", sample)
 
     def task(batches):
         for b in batches:

@@ -1,14 +1,22 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target number of words (weighted shares, capped at a multiple of its size).  A document is first
-given floor(target / size) certain whole copies; the rest of the target is drawn as a Pareto order sample: a document
-ranks by random odds over inclusion odds, u/(1-u) divided by p/(1-p), and the head of the ranking is taken until the
-words reach the rest.  Inside a source p is one number, so the ranking is that of u.
-
-Plan: one narrow pass adds sizes up by source and by bucket of u (at most sources x BUCKETS rows, combined before the
-shuffle).  Running sums over the buckets give the bucket that holds each cut, and only documents of those buckets are
-ever sorted.  The cut then goes back to the rows as a table of one row a source.  A source that holds a third of the
-rows is never brought together.
+Each source gets a target number of words (weighted shares, capped at a multiple of its size).  A document's expected
+number of copies is level * size ** TILT, at most `most`, the level of a source being such that expected words add up to
+its target; sizes count by class (four to a doubling), so a source has as many inclusion probabilities as size classes.
+The whole part of the expected number is given for certain; documents whose expected number is whole, those at the cap
+among them, are split off.  What is left, p < 1, is the inclusion probability of a Pareto order sample: documents rank by
+random odds over inclusion odds, u/(1-u) divided by p/(1-p), and a fixed number is taken.
+
+Words come near the target since samples are drawn by size: each stratum (a doubling of size) has a fixed number of its
+own, its sum of p rounded at random.  From the largest stratum to the smallest, the words that rounding adds or leaves go
+over to the next, so that small documents make up for large ones; this leaves every p as it is on average, but where a
+stratum has too few documents to make up for what it is handed, some p of a small source shift.  At last one document a source, taken or left out,
+closes what the strata's means have left open, if that helps.
+
+Plan: sizes are worked out in one narrow pass and written; all else reads that small table.  Counts by source and class,
+and by source, stratum and bucket of the ranking (BUCKETS at most) combine before they are shuffled; running sums give
+the bucket that holds each cut, and only documents of those buckets are ever sorted.  The cuts go back to the rows as a
+table of one row a source and class.  A source that holds a third of the rows is never brought together.
 """
 
 from __future__ import annotations
@@ -20,9 +28,10 @@ from .common import SPACE, read, text_of, written
 
 BUCKETS = 4096
 SALTS = 64
-BROADCAST_SOURCES = 20_000
+BROADCAST_ROWS = 20_000
 BASE_WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL, MOST = 1.5, 2.0
+SEED = "mix-1"
 
 
 def size_of(text):
@@ -30,12 +39,34 @@ def size_of(text):
     return F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("long")
 
 
-def uniform(doc_id, seed: str):
-    """A number in (0, 1) that depends on the id and the seed alone."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def uniform(*parts):
+    """A number in (0, 1) that depends on the parts alone."""
+    digest = F.md5(F.concat(*[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def octave(size):
+    """Of sizes from 1: how often they can be halved."""
+    return F.length(F.bin(size)) - 1
+
+
+def size_class(size):
+    """Four classes a doubling; -1 for documents without words."""
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), octave(size))
+    return F.when(size > 0, 4 * octave(size) + F.floor(4 * (size - low) / low).cast("int")).otherwise(-1)
+
+
+def tilt(cls):
+    """Fourth root of the smallest size of a class."""
+    return F.sqrt(F.sqrt(F.pow(F.lit(2.0), F.floor(cls / 4)) * (1 + (cls % 4) / 4)))
+
+
+def sized(docs: DataFrame, *keep, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, u, cls of every row, and the columns to keep."""
+    rows = docs.select("doc_id", "source", size_of(text_of(docs)).alias("size"), *keep)
+    return rows.withColumn("u", uniform(F.lit(seed), F.col("doc_id"))).withColumn("cls", size_class(F.col("size")))
+
+
 def targets(sizes: DataFrame, weights=BASE_WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
     """source, source_size -> source, source_size, target: min(most * size, level * weight), the level being such that
     the targets add up to total * all sizes.  One row a source enters; the running sums over them are one task's."""
@@ -54,166 +85,167 @@ def targets(sizes: DataFrame, weights=BASE_WEIGHTS, total: float = TOTAL, most:
     return w.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), "cap").alias("target"))
 
 
-def plan(sized: DataFrame, first_cut: bool = False, **kw) -> tuple[DataFrame, DataFrame | None]:
-    """doc_id, source, size, u -> one row a source: target, certain copies, the cut in the ranking, the closing document;
-    and the documents (source, doc_id) taken below the cut.  first_cut: none is; the draw ends at the first that does not fit."""
-    b = F.floor(F.col("u") * BUCKETS).cast("int")
-    sized = sized.withColumn("bucket", b)
-    buckets = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
-    shares = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), **kw)
-    shares = shares.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    shares = written(shares.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "mix-shares")
-
-    same = lambda a, b: a.source.eqNullSafe(b.source)
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    run = buckets.withColumn("upto", F.sum("words").over(running))
-    cut = run.join(shares, same(run, shares)).where(F.col("upto") > F.col("rest")).groupBy(run.source.alias("source")).agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "rest"), "bucket").alias("c"))
-    cut = written(cut.select("source", "c.*"), "mix-cut")
-    # Only the documents of the cut's own bucket are put in order.
-    near = by_source(sized, cut).where(F.col("bucket") == F.col("_bucket"))
-    near = near.groupBy("source", "u", "doc_id", "_before", "_rest").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source").orderBy("u", F.col("doc_id").isNull(), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("upto", F.col("_before") + F.sum("words").over(order))
-    key = F.struct("u", F.col("doc_id").isNull().alias("none"), "doc_id")
-    fits = F.col("upto") <= F.col("_rest")
-    ends = near.groupBy("source").agg(F.max(F.when(fits, key)).alias("last"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.first("_before")).alias("got"), F.first("_rest").alias("rest"), F.first("_before").alias("before"))
-    ends = written(ends.withColumn("gap", F.col("rest") - F.col("got")).select("source", "last", "gap"), "mix-ends")
-    extra = None
-    if not first_cut:
-        extra, gaps = passed_over(sized, shares, cut, ends)
-        ends = written(ends.drop("gap").join(gaps.withColumnRenamed("source", "s4"), F.col("source").eqNullSafe(F.col("s4"))).drop("s4"), "mix-gaps")
-    full = shares.join(cut.select(F.col("source").alias("s1"), F.col("bucket").alias("cut_bucket")), F.col("source").eqNullSafe(F.col("s1")), "left").drop("s1")
-    full = written(full.join(ends.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2"), "mix-plan")
-    # The document outside the sample whose size is nearest to what the cut leaves open closes the gap, if that helps.
-    left = by_source(sized, full)
-    left = with_below(left, extra)
-    left = left.where(~taken_by_rank(left) & ~F.col("_below") & F.col("_gap").isNotNull() & (F.col("size") > 0) & (F.col("doc_id").isNotNull()) & (F.abs(F.col("size") - F.col("_gap")) < F.col("_gap")))
-    closing = left.groupBy(F.col("source").alias("s3")).agg(F.min_by("doc_id", F.struct(F.abs(F.col("size") - F.col("_gap")), "u", "doc_id")).alias("closing"))
-    return written(full.join(closing, F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3"), "mix-full"), extra
-
-
-def passed_over(sized: DataFrame, shares: DataFrame, cut: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Goes on down the ranking: a document that does not fit what is still open is passed over, the next that fits is
-    taken.  Returns the documents taken so (source, doc_id) and what stays open of each source (source, gap).
-
-    A round takes the head of those that fit the gap alone, up to the first that does not fit with those before it.  That
-    one and all too long for the new gap never fit again, so a round leaves fewer, and the rounds end when none is open."""
-    full = shares.select("source", "rest").join(cut.select(F.col("source").alias("s1"), F.col("bucket").alias("cut_bucket")), F.col("source").eqNullSafe(F.col("s1"))).drop("s1")
-    full = written(full.join(ends.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "mix-open")
-    rows = by_source(sized, full)
-    rows = rows.where(~taken_by_rank(rows) & (F.col("_rest") > 0) & (F.col("size") > 0) & F.col("doc_id").isNotNull() & (F.col("size") <= F.col("_gap")))
-    # Rows that share a doc_id are one document.
-    rows = written(rows.groupBy("source", "bucket", "u", "doc_id").agg(F.sum("size").alias("size")), "mix-below")
-    gaps, taken = written(ends.select("source", "gap"), "mix-gap"), []
-    while True:
-        open_ = by_source(rows, gaps).where(F.col("size") <= F.col("_gap")).select(*rows.columns, F.col("_gap").alias("gap"))
-        rows = written(open_, "mix-below")
-        if rows.isEmpty():
-            break
-        running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("gap").alias("gap")).withColumn("upto", F.sum("words").over(running))
-        # The bucket of the cut; where all fit, past the last.
-        at = sums.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("gap"), F.col("bucket"))).alias("at"), F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("before"))
-        at = written(at.select("source", F.coalesce("at", F.lit(BUCKETS)).alias("at"), F.coalesce("before", F.lit(0)).alias("before")), "mix-at")
-        near = by_source(rows, at)
-        order = Window.partitionBy("source").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-        edge = near.where(F.col("bucket") == F.col("_at")).withColumn("upto", F.col("_before") + F.sum("size").over(order))
-        edge = edge.withColumn("in", F.col("upto") <= F.col("gap")).select("source", "bucket", "u", "doc_id", "size", "in")
-        below = near.where(F.col("bucket") < F.col("_at")).select("source", "bucket", "u", "doc_id", "size", F.lit(True).alias("in"))
-        got = written(edge.where("in").unionByName(below), "mix-got").drop("in")
-        taken.append(got.select("source", "doc_id"))
-        # Only what ranks after the blocked document can still be taken.
-        blocked = edge.where("not in").groupBy("source").agg(F.min(F.struct("u", "doc_id")).alias("blocked"))
-        words = got.groupBy("source").agg(F.sum("size").alias("words")).withColumnRenamed("source", "s5")
-        gaps = gaps.join(words, F.col("source").eqNullSafe(F.col("s5")), "left").select("source", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap"))
-        gaps, blocked = written(gaps, "mix-gap"), written(blocked, "mix-blocked")
-        rows = by_source(rows.drop("gap"), blocked)
-        rows = rows.where(F.struct("u", "doc_id") > F.col("_blocked")).select("source", "bucket", "u", "doc_id", "size")
-    none = rows.select("source", "doc_id")
-    for t in taken:
-        none = none.unionByName(t)
-    return written(none, "mix-taken"), gaps
-
-
-def with_below(rows: DataFrame, extra: DataFrame | None) -> DataFrame:
-    """rows with _below: are they taken below the cut?"""
-    if extra is None:
-        return rows.withColumn("_below", F.lit(False))
-    t = extra.select(F.col("source").alias("_s6"), F.col("doc_id").alias("_d6"), F.lit(True).alias("_hit"))
-    on = rows.join(t, (rows.doc_id == t._d6) & rows.source.eqNullSafe(t._s6), "left")
-    return on.withColumn("_below", F.coalesce("_hit", F.lit(False))).drop("_s6", "_d6", "_hit")
-
-
-def by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows with the table's columns of their source, named with a leading _.  The table is broadcast when it is counted
-    to be small; beyond that both sides are salted, so that no source gathers in one task."""
-    t = table.select(*[F.col(c).alias(f"_{c}") for c in table.columns])
-    if table.count() <= BROADCAST_SOURCES:
-        return rows.join(F.broadcast(t), rows.source.eqNullSafe(t._source)).drop("_source")
-    t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    on = rows.withColumn("_mine", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return on.join(t, on.source.eqNullSafe(t._source) & (on._mine == t._salt)).drop("_source", "_salt", "_mine")
+def expected(classes: DataFrame, shares: DataFrame, most: float = MOST) -> DataFrame:
+    """classes (source, cls, n, words) with certain, the copies that are certain, and p, the inclusion probability."""
+    c = classes.join(shares.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("g", tilt(F.col("cls")))
+    fill = Window.partitionBy("source").orderBy(F.desc("cls"))  # the largest reach the cap first
+    c = c.withColumn("full", most * F.coalesce(F.sum("words").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    c = c.withColumn("open", F.sum(F.col("g") * F.col("words")).over(fill.rowsBetween(0, Window.unboundedFollowing)))
+    c = c.withColumn("level", F.when(F.col("open") > 0, (F.col("target") - F.col("full")) / F.col("open")))
+    fits = F.when(F.round(F.col("level") * F.col("g"), 9) <= most, F.col("level"))
+    c = c.withColumn("level", F.first(fits, ignorenulls=True).over(fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    copies = F.when(F.col("cls") < 0, 0.0).otherwise(F.round(F.coalesce(F.least(F.col("level") * F.col("g"), F.lit(most)), F.lit(most)), 9))
+    c = c.withColumn("copies", copies).withColumn("certain", F.floor("copies").cast("long"))
+    return c.select("source", "cls", "n", "words", "source_size", "target", "certain", (F.col("copies") - F.col("certain")).alias("p"))
 
 
-def taken_by_rank(rows: DataFrame):
-    """Does the ranking take the row?  rows carry the plan's columns."""
-    key = F.struct("u", F.col("doc_id").isNull().alias("none"), "doc_id")
-    upto = (F.col("bucket") < F.col("_cut_bucket")) | ((F.col("bucket") == F.col("_cut_bucket")) & F.coalesce(key <= F.col("_last"), F.lit(False)))
-    return (F.col("_rest") > 0) & (F.col("_cut_bucket").isNull() | upto)
+def numbers(classes: DataFrame, seed: str) -> DataFrame:
+    """source, h, take: how many of each stratum the sample has."""
+    h = F.floor(F.col("cls") / 4).cast("int")
+    s = classes.where("p > 0").groupBy("source", h.alias("h")).agg(F.sum("n").alias("n"), F.sum(F.col("p") * F.col("n")).alias("sum_p"), F.sum(F.col("p") * F.col("words")).alias("sum_w"))
+    s = s.withColumn("mean", F.col("sum_w") / F.col("sum_p")).withColumn("u", uniform(F.lit(seed + "-"), F.coalesce("source", F.lit("null")), F.lit("-"), F.col("h")))
+    # At most one row a doubling of size: the strata of a source fit into an array.
+    listed = s.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("h")).alias("k"), "n", "sum_p", "sum_w", "mean", "u"))).alias("strata"))
+    none = F.array().cast("array<struct<h:int,take:bigint>>")
 
+    def step(state, x):
+        take = F.floor(F.round(x["sum_p"] + state["carry"] / x["mean"], 9) + x["u"]).cast("bigint")
+        take = F.greatest(F.least(take, x["n"]), F.lit(0).cast("bigint"))
+        return F.struct((state["carry"] + x["sum_w"] - take * x["mean"]).alias("carry"), F.concat(state["made"], F.array(F.struct((-x["k"]).alias("h"), take.alias("take")))).alias("made"))
 
-def mix(docs: DataFrame, seed: str = "mix-1", **kw) -> DataFrame:
+    made = F.aggregate("strata", F.struct(F.lit(0.0).alias("carry"), none.alias("made")), step, lambda s: s["made"])
+    return listed.select("source", F.explode(made).alias("m")).select("source", "m.h", "m.take")
+
+
+def order_key():
+    """Random odds over inclusion odds; null where nothing is left to chance."""
+    return F.try_divide(F.col("u") / (1 - F.col("u")), F.col("_p") / (1 - F.col("_p")))
+
+
+def bucket():
+    return F.floor(order_key() / (1 + order_key()) * BUCKETS).cast("int")
+
+
+def place():
+    return F.struct(order_key().alias("key"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+
+
+def by_class(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with the table's columns of their source and class, named with a leading _.  The table is broadcast when it is
+    counted to be small; beyond that both sides are salted, so that no source gathers in one task."""
+    t = table.select(*[F.col(c).alias(f"_{c}") for c in table.columns])
+    same = rows.source.eqNullSafe(t._source) & (rows.cls == t._cls)
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(t), same).drop("_source", "_cls")
+    t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_mine", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return rows.join(t, rows.source.eqNullSafe(t._source) & (rows.cls == t._cls) & (rows._mine == t._salt)).drop("_source", "_cls", "_salt", "_mine")
+
+
+def taken_by_rank():
+    """Does the sample have the row?  Rows carry the plan's columns."""
+    head = (bucket() < F.col("_cut")) | ((bucket() == F.col("_cut")) & (place() <= F.col("_last")))
+    return F.coalesce((F.col("_p") > 0) & head, F.lit(False))
+
+
+def plan(rows: DataFrame, seed: str = SEED, weights=BASE_WEIGHTS, total: float = TOTAL, most: float = MOST, close: bool = True) -> DataFrame:
+    """doc_id, source, size, u, cls -> one row a source and class: source_size, target, certain copies, p, the stratum's cut
+    in the ranking, and the document of the source that closes the gap, by one copy more or less.  close: is there one?"""
+    classes = written(rows.groupBy("source", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-classes")
+    shares = written(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most), "mix-shares")
+    classes = written(expected(classes, shares, most).withColumn("h", F.floor(F.col("cls") / 4).cast("int")), "mix-expected")
+    named = lambda d, *cs: d.select(F.col("source").alias("_s"), F.col("h").alias("_h"), *cs)
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("h") == F.col("_h"))
+    drawn = classes.join(named(numbers(classes, seed), "take"), same, "left").drop("_s", "_h")
+    drawn = written(drawn.withColumn("take", F.coalesce("take", F.lit(0).cast("long"))), "mix-numbers")
+    held = by_class(rows, drawn.select("source", "cls", "p", "h", "take")).where("_p > 0 and _take > 0")
+    counts = held.groupBy("source", F.col("_h").alias("h"), "_take", bucket().alias("bucket")).agg(F.count("*").alias("k"))
+    running = Window.partitionBy("source", "h").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("upto", F.sum("k").over(running)).where(F.col("upto") >= F.col("_take"))
+    cut = upto.groupBy("source", "h").agg(F.min("bucket").alias("cut"), F.min(F.col("upto") - F.col("k")).alias("before"))
+    drawn = written(drawn.join(named(cut, "cut", "before"), same, "left").drop("_s", "_h"), "mix-cut")
+    # Only the documents of the cuts' own buckets are put in order.
+    near = by_class(rows, drawn.where("cut is not null").select("source", "cls", "p", "h", "take", "cut", "before")).where(bucket() == F.col("_cut"))
+    nth = F.row_number().over(Window.partitionBy("source", "_h").orderBy(place()))
+    last = near.withColumn("nth", nth).where(F.col("_before") + F.col("nth") <= F.col("_take")).groupBy("source", F.col("_h").alias("h")).agg(F.max(place()).alias("last"))
+    drawn = written(drawn.join(named(last, "last"), same, "left").drop("_s", "_h"), "mix-last")
+    if not close:
+        return drawn.withColumn("closing", F.lit(None).cast("long")).withColumn("sign", F.lit(0))
+    held = by_class(rows, drawn.select("source", "cls", "target", "certain", "p", "cut", "last")).withColumn("in", taken_by_rank())
+    gap = held.groupBy("source").agg((F.first("_target") - F.sum(F.col("size") * (F.col("_certain") + F.col("in").cast("int")))).alias("gap"))
+    gap = written(gap.withColumnRenamed("source", "_s"), "mix-gap")
+    open_ = by_class(rows, written(drawn.join(gap, F.col("source").eqNullSafe(F.col("_s"))).select("source", "cls", "certain", "p", "cut", "last", "gap"), "mix-open")).withColumn("in", taken_by_rank())
+    more = (F.col("_gap") > 0) & ~F.col("in") & (F.col("_certain") + 1 <= most)
+    fewer = (F.col("_gap") < 0) & F.col("in")
+    off = F.abs(F.col("size") - F.abs("_gap"))
+    open_ = open_.where((more | fewer) & (F.col("size") > 0) & F.col("doc_id").isNotNull() & (off < F.abs("_gap")))
+    closing = open_.groupBy(F.col("source").alias("_s")).agg(F.min_by("doc_id", F.struct(off, "u", "doc_id")).alias("closing"), F.first(F.signum("_gap").cast("int")).alias("sign"))
+    return written(drawn.join(written(closing, "mix-closing"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-plan")
+
+
+def with_copies(rows: DataFrame, made: DataFrame) -> DataFrame:
+    """rows with copies, _source_size and _target."""
+    rows = by_class(rows, made.select("source", "cls", "source_size", "target", "certain", "p", "cut", "last", "closing", "sign"))
+    closes = F.when(F.col("doc_id") == F.col("_closing"), F.col("_sign")).otherwise(0)
+    return rows.withColumn("copies", F.when(F.col("size") > 0, F.col("_certain") + taken_by_rank().cast("int") + closes).otherwise(0).cast("long"))
+
+
+def mix(docs: DataFrame, seed: str = SEED, **kw) -> DataFrame:
     """docs (doc_id, text, source and any other columns) with size, source_size, target, copies (0 to 2).
 
-    Nulls: a null text has size 0, a null source is a source of its own and comes last, null ids rank last.  Rows that
-    share a doc_id are taken or left together.  Empty texts never change a sum.  An empty table gives an empty result.
-    Clashing column names are replaced by the operator's own.
+    Nulls: a null text has size 0, a null source is a source of its own and comes last, null ids share a place in the
+    ranking, behind equal ones.  Rows that share a doc_id and a size class are taken or left together.  Texts without words
+    are taken no times.  An empty table gives an empty result.  Long texts are only counted.  Clashing columns are replaced
+    by the operator's own.
     """
-    own = ["size", "u", "bucket", "source_size", "target", "copies"]
-    base = docs.drop(*own).withColumn("size", size_of(text_of(docs))).withColumn("u", uniform(F.col("doc_id"), seed))
-    return apply_plan(base, *plan(written(base.select("doc_id", "source", "size", "u"), "mix-sizes"), **kw)).drop("u", "bucket")
+    own = ["size", "source_size", "target", "copies"]
+    rows = _planned(docs, seed, **kw)
+    return rows.select("doc.*", "size", "_source_size", "_target", "copies").toDF(*docs.columns, *[f"_{c}_" for c in own]).drop(*own).withColumnsRenamed({f"_{c}_": c for c in own})
 
 
-def apply_plan(sized: DataFrame, full: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    rows = by_source(sized.withColumn("bucket", F.floor(F.col("u") * BUCKETS).cast("int")), full)
-    rows = with_below(rows, extra)
-    more = taken_by_rank(rows) | F.col("_below") | F.coalesce(F.col("doc_id") == F.col("_closing"), F.lit(False))
-    rows = rows.withColumn("copies", F.col("_copies") + F.when(more, 1).otherwise(0)).withColumn("source_size", F.col("_source_size")).withColumn("target", F.col("_target"))
-    return rows.drop("_below", *[c for c in rows.columns if c in {f"_{x}" for x in full.columns}])
+def _planned(docs: DataFrame, seed: str, **kw) -> DataFrame:
+    made = plan(written(sized(docs, seed=seed), "mix-sizes"), seed, **kw)
+    return with_copies(sized(docs, F.struct(*[docs[c] for c in docs.columns]).alias("doc"), seed=seed), made)
 
 
-def op10_mixing(spark: SparkSession, sf_dir: str, first_cut: bool = True) -> DataFrame:
-    """As the SQL has it: the draw ends at the first document that does not fit."""
-    docs = read(spark, sf_dir, "documents")
-    seed = "mix-1"
-    sized = written(docs.select("doc_id", "source", size_of(text_of(docs)).alias("size"), uniform(F.col("doc_id"), seed).alias("u")), "mix-sizes")
-    rows = apply_plan(sized, *plan(sized, first_cut=first_cut))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+def repeated(docs: DataFrame, seed: str = SEED, **kw) -> DataFrame:
+    """Each document as often as the mix takes it.  All columns stay as they are, whatever their names."""
+    rows = _planned(docs, seed, **kw).where("copies > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select("doc.*")
 
 
-def op10_mixing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with documents that do not fit passed over, as the pipeline mixes."""
-    return op10_mixing(spark, sf_dir, first_cut=False)
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(sized(read(spark, sf_dir, "documents")), "mix-sizes")
+    rows = with_copies(rows, plan(rows))
+    return rows.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
-#: The same rows by plain sums: levels from running sums, the cut from one ranking of each source, then the closing document.
+#: The same rows by plain windows and a recursion over the strata.
 SQL = r"""
-WITH s AS (SELECT doc_id, source,
+WITH RECURSIVE s0 AS (SELECT doc_id, source,
   CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
   (CAST(('0x' || substr(md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS u FROM documents),
+s AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) - 1 ELSE -1 END AS h, CASE WHEN size > 0 THEN 4 * (length(bin(size)) - 1) + 4 * (size - (1::BIGINT << (length(bin(size)) - 1))) // (1::BIGINT << (length(bin(size)) - 1)) ELSE -1 END AS cls FROM s0),
 z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS cap FROM z),
 f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS full_,
   sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_, (SELECT sum(source_size) FROM z)::DOUBLE AS everything, row_number() OVER (ORDER BY cap / weight, source IS NULL, source) AS k FROM w),
 l AS (SELECT (1.5::DOUBLE * everything - full_) / open_ AS level FROM f WHERE (1.5::DOUBLE * everything - full_) / open_ * weight <= cap ORDER BY k LIMIT 1),
 t AS (SELECT source, source_size, coalesce(least(cap, (SELECT level FROM l) * weight), cap) AS target FROM w),
-c AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM t),
-r AS (SELECT s.doc_id, s.source, s.size, s.u, c.source_size, c.target, c.copies, c.target - c.copies * c.source_size AS rest,
-  sum(s.size) OVER (PARTITION BY s.source ORDER BY s.u, s.doc_id IS NULL, s.doc_id) AS upto FROM s JOIN c ON s.source IS NOT DISTINCT FROM c.source),
-p AS (SELECT *, upto <= rest AND rest > 0 AS ranked FROM r),
-g AS (SELECT source, any_value(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS gap FROM p GROUP BY source),
-n AS (SELECT p.source, arg_min(p.doc_id, (abs(p.size - g.gap), p.u, p.doc_id)) AS closing FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
-  WHERE NOT p.ranked AND p.size > 0 AND p.doc_id IS NOT NULL AND abs(p.size - g.gap) < g.gap GROUP BY p.source)
-SELECT p.doc_id, p.size, p.source_size, p.target, CAST(p.size * (p.copies + CASE WHEN p.ranked OR coalesce(p.doc_id = n.closing, false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM p LEFT JOIN n ON p.source IS NOT DISTINCT FROM n.source
+c0 AS (SELECT source, cls, any_value(h) AS h, count(*) AS n, CAST(sum(size) AS BIGINT) AS words, sqrt(sqrt(pow(2.0::DOUBLE, any_value(h)) * (1 + (cls % 4) / 4.0::DOUBLE))) AS g FROM s WHERE size > 0 GROUP BY source, cls),
+c1 AS (SELECT c0.*, source_size, target, 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY c0.source ORDER BY cls DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_, sum(g * words) OVER (PARTITION BY c0.source ORDER BY cls DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_ FROM c0 JOIN t ON c0.source IS NOT DISTINCT FROM t.source),
+lv AS (SELECT source, arg_max((target - full_) / open_, cls) AS level FROM c1 WHERE round((target - full_) / open_ * g, 9) <= 2 GROUP BY source),
+c2 AS (SELECT c1.*, round(coalesce(least(level * g, 2.0::DOUBLE), 2.0::DOUBLE), 9) AS copies FROM c1 LEFT JOIN lv ON c1.source IS NOT DISTINCT FROM lv.source),
+c AS (SELECT source, cls, h, n, words, CAST(floor(copies) AS BIGINT) AS certain, copies - floor(copies) AS p FROM c2),
+h0 AS (SELECT source, h, CAST(sum(n) AS BIGINT) AS n, sum(p * n) AS sum_p, sum(p * words) AS sum_w FROM c WHERE p > 0 GROUP BY source, h),
+h1 AS (SELECT *, sum_w / sum_p AS mean, (CAST(('0x' || substr(md5('mix-1-' || coalesce(source, 'null') || '-' || CAST(h AS VARCHAR)), 1, 12)) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS u, row_number() OVER (PARTITION BY source ORDER BY h DESC) AS k FROM h0),
+st AS (SELECT source, h, k, greatest(least(CAST(floor(round(sum_p, 9) + u) AS BIGINT), n), 0) AS take, sum_w - greatest(least(CAST(floor(round(sum_p, 9) + u) AS BIGINT), n), 0) * mean AS carry FROM h1 WHERE k = 1
+  UNION ALL SELECT h1.source, h1.h, h1.k, greatest(least(CAST(floor(round(sum_p + carry / mean, 9) + u) AS BIGINT), n), 0), carry + sum_w - greatest(least(CAST(floor(round(sum_p + carry / mean, 9) + u) AS BIGINT), n), 0) * mean FROM st JOIN h1 ON h1.source IS NOT DISTINCT FROM st.source AND h1.k = st.k + 1),
+r0 AS (SELECT s.*, coalesce(c.certain, 0) AS certain, coalesce(c.p, 0) AS p, CASE WHEN c.p > 0 THEN (s.u / (1 - s.u)) / (c.p / (1 - c.p)) END AS key FROM s LEFT JOIN c ON s.source IS NOT DISTINCT FROM c.source AND s.cls = c.cls),
+r1 AS (SELECT r0.*, coalesce(p > 0 AND rank() OVER (PARTITION BY r0.source, r0.h, p > 0 ORDER BY key, doc_id IS NULL, doc_id) <= take, false) AS picked FROM r0 LEFT JOIN st ON r0.source IS NOT DISTINCT FROM st.source AND r0.h = st.h),
+g AS (SELECT r1.source, any_value(target) - sum(size * (certain + CAST(picked AS BIGINT))) AS gap FROM r1 JOIN t ON r1.source IS NOT DISTINCT FROM t.source GROUP BY r1.source),
+e AS (SELECT r1.source, arg_min(doc_id, (abs(size - abs(gap)), u, doc_id)) AS closing, any_value(sign(gap)) AS sgn FROM r1 JOIN g ON r1.source IS NOT DISTINCT FROM g.source
+  WHERE ((gap > 0 AND NOT picked AND certain + 1 <= 2) OR (gap < 0 AND picked)) AND size > 0 AND doc_id IS NOT NULL AND abs(size - abs(gap)) < abs(gap) GROUP BY r1.source)
+SELECT r1.doc_id, r1.size, t.source_size, t.target, CAST(r1.size * (certain + CAST(picked AS BIGINT) + CASE WHEN r1.doc_id = e.closing THEN sgn ELSE 0 END) AS BIGINT) AS taken
+FROM r1 JOIN t ON r1.source IS NOT DISTINCT FROM t.source LEFT JOIN e ON r1.source IS NOT DISTINCT FROM e.source
 """

@@ -19,7 +19,6 @@ def queries() -> dict:
         "op8_token_files": token_files.op8_token_files,
         "op9_topk_search": topk_search.op9_topk_search,
         "op10_mixing": mixing.op10_mixing,
-        "op10_mixing_whole": mixing.op10_mixing_whole,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -106,6 +106,61 @@ def test_near_duplicates_where_few_blocks_can_be_shown(spark, odd, monkeypatch):
     assert all(len(k) <= 9 for k, *_ in keys)  # at most the blocks and the key that such sets share
 
 
+def test_near_duplicates_in_tiles(spark, odd, monkeypatch):
+    """Small tiles and bundles, and families that stay in their groups."""
+    path, docs = odd
+    want = sorted(map(repr, near_dup.op1_near_duplicates(spark, path).collect()))
+    for name, value in (("TILE", 3), ("BUNDLE_BYTES", 2000), ("TILE_BYTES", 5000)):
+        monkeypatch.setattr(near_dup, name, value)
+    assert sorted(map(repr, near_dup.op1_near_duplicates(spark, path).collect())) == want
+    monkeypatch.setattr(near_dup, "FAMILY", 2)
+    assert sorted(map(repr, near_dup.op1_near_duplicates(spark, path).collect())) == want
+
+
+def test_forests_join_what_a_plain_comparison_joins():
+    """Families of near copies whose members are seldom all like one of them; two components meet over several pairs."""
+    r = random.Random(9)
+    for trial in range(30):
+        base, sets = [r.getrandbits(64) for _ in range(r.choice([6, 40, 300]))], []
+        for _ in range(25):
+            keep = [x if r.random() > 0.12 else r.getrandbits(64) for x in base]
+            sets.append(np.unique(np.array(keep, np.uint64)))
+        n = np.array([len(x) for x in sets])
+        ids = np.array(r.sample(range(1000), len(sets)))
+        root = ids.copy()
+        root[:4] = root[0]
+        sketches = [np.frombuffer(near_dup.sketch_of(x), np.uint64) for x in sets]
+        found = near_dup.forest(ids, n, root, np.zeros(len(sets), int), sketches, sets)
+        up = {int(i): int(x) for i, x in zip(ids, root)}
+
+        def top(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in found:
+            assert top(a) != top(b)  # a forest
+            up[top(a)] = top(b)
+        got = {int(i): top(int(i)) for i in ids}
+        up.update({int(i): int(x) for i, x in zip(ids, root)})
+        for a in range(len(sets)):
+            for b in range(a):
+                if near_dup.similar(sets[a], sets[b]):
+                    up[top(int(ids[a]))] = top(int(ids[b]))
+        pairs = [(int(x), int(y)) for x in ids for y in ids]
+        assert [got[x] == got[y] for x, y in pairs] == [top(x) == top(y) for x, y in pairs]
+
+
+def test_dropping_near_duplicates_loses_nothing_else(spark):
+    """Null and shared ids, whole repeated rows, and rows without words."""
+    a, b, c = ("".join(f"{x}{i} " for i in range(40)) for x in "abc")
+    rows = [(1, a), (None, a + "z"), (None, b), (2, a), (2, c), (3, c), (3, c), (4, ""), (5, None), (4, ""), (6, "b"), (6, "b"), (None, b + "y")]
+    df = spark.createDataFrame([(*x, "h", 1) for x in rows], "doc_id long, text string, _hash string, gone int")
+    got = [(r.doc_id, r.text) for r in near_dup.drop_near_duplicates(df).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(1, a), (None, b) if (None, b) in got else (None, b + "y"), (2, c), (4, ""), (5, None), (4, ""), (6, "b")]))
+    assert near_dup.drop_near_duplicates(df).columns == df.columns
+
+
 def test_group_bounds_hold():
     r = random.Random(0)
     for _ in range(3000):
@@ -299,15 +354,38 @@ def test_top_k(spark, tmp_path):
 
 
 def test_top_k_over_blocks(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(topk_search, "BLOCK", 40)
-    monkeypatch.setattr(topk_search, "QUERIES", 3)
-    monkeypatch.setattr(topk_search, "FEW", 2)
+    for name, value in (("BLOCK", 40), ("QUERIES", 3), ("TOGETHER", 2), ("FEW", 2)):
+        monkeypatch.setattr(topk_search, name, value)
     rows = [(i, e) for i, e, _ in table(name="embeddings")][:300]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = topk_search.op9_topk_search(spark, str(tmp_path)).collect()
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute_top(rows)
 
 
+def test_top_k_stops_early_on_skewed_impacts():
+    rng = np.random.default_rng(1)
+    v = np.floor(rng.standard_normal((2000, 64)) * 4)
+    v[np.arange(2000), rng.integers(0, 64, 2000)] = rng.integers(500, 4000, 2000)  # one large component each
+    ids = np.arange(2000)
+    found, read, there = topk_search.search(topk_search.Index(ids, v), ids[:50], v[:50], 5)
+    assert read < there / 2
+    want = v[:50] @ v.T
+    for i in range(50):
+        order = sorted((j for j in range(2000) if j != i), key=lambda j: (-want[i, j], j))[:5]
+        assert [(j, int(want[i, j])) for j in order] == [(j, x) for q, j, x in found if q == i]
+
+
+def test_top_k_of_huge_components(spark, tmp_path):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 1.0]), (3, [0.5, 0.25]), (50, [3.0, 4e18])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    most, want = (1 << 63) - 1, set()
+    v = {i: [int(np.floor(256 * x)) for x in e] for i, e in rows}
+    for q in (0, 50):
+        best = sorted((-max(-most, min(most, sum(a * b for a, b in zip(v[q], v[c])))), c) for c in v if c != q)
+        want |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(best[:5])}
+    assert {tuple(r) for r in topk_search.op9_topk_search(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()} == want
+
+
 @pytest.mark.parametrize("block", [4096, 40])
 def test_top_k_with_repeated_rows(spark, tmp_path, monkeypatch, block):
     """Copies of vectors, and of queries, rank as rows of their own, as the SQL has it."""
@@ -328,41 +406,47 @@ def test_top_k_with_repeated_rows(spark, tmp_path, monkeypatch, block):
 def test_mixing(spark, odd):
     path, docs = odd
     rows = mixing.op10_mixing(spark, path).collect()
-    size = {i: len(WORD.findall(t or "")) for i, t, *_ in docs}
-    assert sorted(repr((r.doc_id, r.size)) for r in rows) == sorted(repr((i, size[i])) for i, *_ in docs)
+    assert sorted(repr((r.doc_id, r.size)) for r in rows) == sorted(repr((i, len(WORD.findall(t or "")))) for i, t, *_ in docs)
     assert all(0 <= r.taken <= 2 * r.size for r in rows)
-    total = sum(size[i] for i, *_ in docs)
+    total = sum(r.size for r in rows)
     sources = {}
     for r in rows:
         sources.setdefault((r.source_size, r.target), []).append(r)
     assert sum(t for _, t in sources) == pytest.approx(1.5 * total)
-    for (s, t), own in sources.items():
-        assert t <= 2 * s + 1e-6
-        assert abs(sum(r.taken for r in own) - t) <= max((r.size for r in own), default=0)
+    assert all(t <= 2 * s + 1e-6 for s, t in sources)
     assert sorted(map(repr, rows)) == sorted(map(repr, mixing.op10_mixing(spark, path).collect()))
 
 
-def test_mixing_passes_over_what_does_not_fit(spark):
-    """Against a plain walk down the ranking; each source ends near its target, not near it by its largest document."""
-    sf, off = "/root/testdata/sf0.01", {}
-    sources = {i: s for i, _, _, s in (r[:4] for r in table(sf))}
-    got, cut = ({r.doc_id: r for r in f(spark, sf).collect()} for f in (mixing.op10_mixing_whole, mixing.op10_mixing))
-    u = lambda i: (int(hashlib.md5(f"mix-1{i}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
-    for s in set(sources.values()):
-        own = sorted((u(i), i) for i, x in sources.items() if x == s)
-        one = got[own[0][1]]
-        copies = int(one.target // one.source_size)
-        gap, taken = one.target - copies * one.source_size, set()
-        for _, i in own:
-            if 0 < got[i].size <= gap:
-                gap -= got[i].size
-                taken.add(i)
-        close = min(((abs(got[i].size - gap), v, i) for v, i in own if i not in taken and got[i].size > 0 and abs(got[i].size - gap) < gap), default=None)
-        taken |= {close[2]} if close else set()
-        assert all(got[i].taken == got[i].size * (copies + (i in taken)) for _, i in own)
-        off[s] = [abs(sum(rows[i].taken for _, i in own) / one.target - 1) for rows in (cut, got)]
-    print("off target:", max(a for a, _ in off.values()), max(b for _, b in off.values()))
-    assert max(b for _, b in off.values()) < 0.02
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_mixing_comes_near_its_targets(spark, sf):
+    sources = defaultdict(list)
+    for r in mixing.op10_mixing(spark, f"/root/testdata/{sf}").collect():
+        sources[r.source_size, r.target].append(r.taken)
+    off = max(abs(sum(x) / t - 1) for (_, t), x in sources.items())
+    print("largest distance from a target:", off)
+    assert off < 0.02
+
+
+def test_mixing_includes_documents_as_often_as_their_probability_says(spark):
+    """Over many sources with the same sizes, without the closing document; and every sample has its fixed number."""
+    r = random.Random(8)
+    sizes, many = [r.choice([3, 5, 9, 40, 47, 60, 300]) for _ in range(30)], 300
+    docs = [(100 * k + j, " ".join(["w"] * n), f"s{k}") for k in range(many) for j, n in enumerate(sizes)]
+    rows = mixing.written(mixing.sized(spark.createDataFrame(docs, "doc_id long, text string, source string")), "rows")
+    made = mixing.plan(rows, weights=(1.0,), total=0.45, close=False).collect()
+    p, take = {x.cls: x.p for x in made}, {(x.source, x.h): x["take"] for x in made if x.p > 0}
+    assert len(p) > 4 and all(0 <= x < 1 for x in p.values())
+    plan = spark.createDataFrame(made, mixing.plan(rows, weights=(1.0,), total=0.45, close=False).schema)
+    seen, got = defaultdict(int), defaultdict(int)
+    certain = {x.cls: x.certain for x in made}
+    for x in mixing.with_copies(rows, plan).collect():
+        seen[x.doc_id % 100] += x.copies - certain[x.cls]
+        got[x.source, x.cls // 4] += (x.copies - certain[x.cls]) if p[x.cls] else 0
+    cls = {x.doc_id % 100: x.cls for x in rows.collect()}
+    assert all(got[k] == n for k, n in take.items())
+    off = [seen[j] / many - p[cls[j]] for j in range(len(sizes))]
+    assert abs(sum(off) / len(off)) < 0.02
+    assert max(map(abs, off)) < 4.5 * (0.25 / many) ** 0.5
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -377,27 +461,65 @@ def test_twins(spark, name):
     assert sorted(repr(tuple(x[c] for c in cols)) for x in df.collect()) == sorted(repr(tuple(x[i] for i in at)) for x in r.fetchall())
 
 
-def test_pipeline(spark, odd, monkeypatch):
-    """Each stage against a plain version of it, on what the stage before kept."""
+def test_pipeline(spark, odd):
+    """Each stage against a plain version of it, on what the stage before kept, with columns whose names clash."""
     import corpus_pipeline as C
 
     path, docs = odd
     frame = spark.read.parquet(f"{path}/documents.parquet")
+    for c in ("u", "bucket", "score", "predicted", "copies", "target", "_hash", "_mine", "cls"):
+        frame = frame.withColumn(c, quality.F.lit(f"own {c}"))
+    labels = {i: q for i, q, *_ in table(name="labels") if q in (0, 1) and zlib.crc32(str(i).encode()) % 5}
     kept = frame
     for name, stage in C.STAGES[:-1]:
         before = [(r.doc_id, r.text) for r in kept.collect()]
         kept = stage(spark, kept, path)
         assert kept.columns == frame.columns
-        after = [(r.doc_id, r.text) for r in kept.collect()]
-        assert set(after) <= set(before)
+        rows = kept.collect()
+        after = [(r.doc_id, r.text) for r in rows]
+        assert all(r.u == "own u" and r.score == "own score" and r["size"] == "clash" for r in rows)
+        if name == "quality":
+            marked = [(labels[i], quality.features(t or "")) for i, t in before if i in labels]
+            marked.sort()
+            bad = sum(q == 0 for q in labels.values()) / len(labels)
+            model = quality.fit(np.array([x for _, x in marked]), np.array([q == 1 for q, _ in marked]), bad)
+            want = [x for x in before if model.probability(np.array([quality.features(x[1] or "")]))[0] >= quality.AT]
         if name == "exact_dedup":
-            assert len(after) == len({SPACE.sub("", t or "") for _, t in before})
+            groups = defaultdict(list)
+            for i, t in before:
+                groups[SPACE.sub("", t or "")].append((-len(t or ""), i is None, i or 0, (i, t)))
+            want = [min(g, key=lambda x: x[:3])[3] for g in groups.values()]
         if name == "near_dedup":
             sets, root = components([t for _, t in before])
-            assert len(after) == len({r if s else ("alone", k) for k, (s, r) in enumerate(zip(sets, root))})
+            groups = defaultdict(list)
+            for k, (x, s, g) in enumerate(zip(before, sets, root)):
+                groups[g if s else ("alone", k)].append((x[0] is None, x[0] or 0, x))
+            want = [min(g, key=lambda x: x[:2])[2] for g in groups.values()]
         if name == "mix":
-            assert all(after.count(x) <= 2 for x in after)
+            plain = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame([(i, t, s) for i, t, _, s in docs if (i, t) in set(before)], "doc_id long, text string, source string").distinct()).collect()}
+            want = [x for x in before for _ in range(plain[x[0]])]
+            assert len(want) > len(set(want)) > 0
+        assert sorted(map(repr, after)) == sorted(map(repr, want)), name
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()), special_tokens={})
     out = C.STAGES[-1][1](spark, kept, path).collect()
-    text = {i: t for i, t, *_ in docs}
-    assert len(out) == kept.count()
+    assert sorted(repr((r.doc_id, r.ids)) for r in out) == sorted(repr((i, ref.encode_ordinary(t or ""))) for i, t in after)
+    text = dict(after)
     assert all(r.decoded_sha256 == hashlib.sha256((text[r.doc_id] or "").encode()).hexdigest() and len(r.ids) == r.n_tokens for r in out)
+
+
+def test_bpe_with_a_byte_that_the_vocabulary_lacks():
+    e = bpe.BytePairEncoder({b"a": 0, b"b": 1, b"ab": 2})
+    assert e.encode(b"abab") == [2, 2]
+    for x in (b"abc", b"c", b"cab"):
+        with pytest.raises(ValueError):
+            e.encode(x)
+
+
+def test_shingles_of_long_texts_are_those_of_short_ones(monkeypatch):
+    from quillon.llm import shingles as S
+
+    r = random.Random(6)
+    text = " ".join("".join(r.choice("abcdef") for _ in range(r.randint(1, 9))) + r.choice(["", "\n", "  "]) for _ in range(3000)).encode()
+    whole = S.shingle_sets([text])[0]
+    monkeypatch.setattr(S, "LONGEST", 500)
+    assert (S.shingle_sets([text])[0] == whole).all() and len(whole) > 2000
