@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import POSTING_CAPS
 
+#: Rows from which a key of an uncapped join is spread, and over how many salts.
+HOT, SALTS = 10_000, 64
 #: Key families of the full scheme: type -> column of a record.
 FAMILIES = {"T": "sig_tokens", "N": "addr_nums", "H": "house_codes", "A": "acronyms", "PH": "phonetic", "UK": "unit_keys", "AT": "addr_tokens"}
 
@@ -40,10 +42,23 @@ def cap(postings: DataFrame, caps: dict[str, int] = POSTING_CAPS) -> DataFrame:
     return postings.join(postings.groupBy(*by).count().where(F.col("count") <= limit).select(*by), by, "left_semi")
 
 
-def candidates(s1_keys: DataFrame, postings: DataFrame) -> DataFrame:
-    """s1_id, cid: pairs that share a key.  Caps bound what one reference record can draw from a key."""
+def spread(left: DataFrame, right: DataFrame, by: list[str], hot: int = HOT, salts: int = SALTS) -> DataFrame:
+    """left join right on the columns `by` without a cap: keys with more than `hot` rows on the right are dealt into salts,
+    and their rows on the left go to each, so that no task gets a whole frequent key."""
+    many = right.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*by, F.lit(salts).alias("_salts"))
+    some = lambda d: d.join(many, by, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    own = [c for c in right.columns if c not in by]
+    left = some(left).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    right = some(right).withColumn("_salt", F.pmod(F.xxhash64(*own), F.col("_salts")).cast("int")).drop("_salts")
+    return left.join(right, [*by, "_salt"]).drop("_salt")
+
+
+def candidates(s1_keys: DataFrame, postings: DataFrame, capped: bool = True) -> DataFrame:
+    """s1_id, cid: pairs that share a key.  Caps bound what one reference record can draw from a key; without them frequent
+    keys are spread."""
     by = ["country", "key_type", "key"]
-    return s1_keys.withColumnRenamed("entity_id", "s1_id").join(postings.withColumnRenamed("entity_id", "cid"), by).select("s1_id", "cid").distinct()
+    left, right = s1_keys.withColumnRenamed("entity_id", "s1_id"), postings.withColumnRenamed("entity_id", "cid")
+    return (left.join(right, by) if capped else spread(left, right, by)).select("s1_id", "cid").distinct()
 
 
 def block(s1: DataFrame, pool: DataFrame, caps: dict[str, int] = POSTING_CAPS) -> DataFrame:
@@ -53,7 +68,7 @@ def block(s1: DataFrame, pool: DataFrame, caps: dict[str, int] = POSTING_CAPS) -
 def block_simple(s1: DataFrame, pool: DataFrame) -> DataFrame:
     """Tokens, acronyms and name prefixes only, without caps."""
     only = {"families": ("T", "A"), "brand": False}
-    return candidates(keys(s1, **only), keys(pool, **only))
+    return candidates(keys(s1, **only), keys(pool, **only), capped=False)
 
 
 def block_scored(s1: DataFrame, pool: DataFrame, k: int = 25, caps: dict[str, int] = POSTING_CAPS, token: int = 2, number: int = 3) -> DataFrame:
@@ -71,7 +86,7 @@ def block_rules(one: DataFrame, two: DataFrame) -> DataFrame:
     some = lambda d, c: d.select(F.col("entity_id").alias("id"), F.lit(c).alias("rule"), F.col(c).alias("key")).where(F.col(c).isNotNull() & (F.col(c) != ""))
     rules = ("sx1", "sx2", "prefix3", "suburb")
     both = lambda d: some(d, rules[0]).union(some(d, rules[1])).union(some(d, rules[2])).union(some(d, rules[3]))
-    return both(one).withColumnRenamed("id", "s1_id").join(both(two).withColumnRenamed("id", "cid"), ["rule", "key"]).select("s1_id", "cid").distinct()
+    return spread(both(one).withColumnRenamed("id", "s1_id"), both(two).withColumnRenamed("id", "cid"), ["rule", "key"]).select("s1_id", "cid").distinct()
 
 
 def address_overlap(s1: DataFrame, pool: DataFrame) -> DataFrame:
@@ -79,7 +94,7 @@ def address_overlap(s1: DataFrame, pool: DataFrame) -> DataFrame:
     def side(d, name):
         numbers = d.select(F.col("entity_id").alias(name), "country", F.lit("N").alias("kind"), F.explode("addr_nums").alias("key"))
         return numbers.union(d.select(F.col("entity_id").alias(name), "country", F.lit("AT"), F.explode("addr_tokens")))
-    shared = side(s1, "s1_id").join(side(pool, "cid"), ["country", "kind", "key"]).groupBy("s1_id", "cid").agg(F.count_if(F.col("kind") == "N").alias("numbers"), F.count_if(F.col("kind") == "AT").alias("tokens"))
+    shared = spread(side(s1, "s1_id"), side(pool, "cid"), ["country", "kind", "key"]).groupBy("s1_id", "cid").agg(F.count_if(F.col("kind") == "N").alias("numbers"), F.count_if(F.col("kind") == "AT").alias("tokens"))
     return shared.where("numbers >= 1 or tokens >= 2").select("s1_id", "cid")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
+from ..functions.vocabulary import FEATURES
 from . import tfidf
 
 
@@ -71,19 +72,41 @@ def gate() -> Column:
     return F.greatest(c["ac3"], c["nc3"], c["ntj"], flag((cb[0] == cb[1]) & (cb[0] != "")), code, *overlap)
 
 
+#: Terms of a name, options of the fit, options of the vectors.
+SPACES = {"word": (tfidf.word_terms, {"min_df": 2, "max_df": 0.95}, {}), "char": (tfidf.char_terms, {}, {"sublinear": True})}
+
+
+def names_of(rec: DataFrame) -> DataFrame:
+    return rec.select(F.col("stripped_name").alias("name")).distinct()
+
+
+def fit_idf(rec: DataFrame, space: str) -> DataFrame:
+    """Term weights of a space, from the names of these records."""
+    terms, opts, _ = SPACES[space]
+    return tfidf.fit(names_of(rec), terms(F.col("name")), **opts)
+
+
+def weigh(rec: DataFrame, idf: dict[str, DataFrame]) -> DataFrame:
+    """Records with their names' vectors under weights that were fitted before."""
+    for space, (terms, _, opts) in SPACES.items():
+        vecs = tfidf.packed(tfidf.vectors(names_of(rec), terms(F.col("name")), idf[space], **opts), space)
+        rec = rec.join(vecs.withColumnRenamed("name", "_name"), F.col("stripped_name") == F.col("_name"), "left").drop("_name")
+        rec = rec.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in ((f"{space}_terms", "array<long>"), (f"{space}_weights", "array<double>"))})
+    return rec
+
+
+def cosines() -> dict[str, Column]:
+    """Of the packed vectors of both names."""
+    return {f: S.dot(*(F.col(f"{side}.{space}_{part}") for side in "ab" for part in ("terms", "weights"))) for f, space in (("twc", "word"), ("tcc", "char"))}
+
+
 def features(paired: DataFrame, gate_at: float | None = None) -> DataFrame:
-    """s1_id, cid and the model's 21 columns.  gate_at: pairs whose gate is below it are left out before the kernel runs."""
+    """s1_id, cid and the model's 21 columns, of pairs of weighed records.  gate_at: pairs whose gate is below it are left out
+    before the kernels run.  Narrow: every pair is looked at where it is."""
     if gate_at is not None:
         paired = paired.where(gate() >= gate_at)
-    kept = paired.withColumns(cheap())
-    names = kept.select(F.col("a.stripped_name").alias("name")).union(kept.select(F.col("b.stripped_name"))).distinct()
-    both = kept.select(F.col("a.stripped_name").alias("name_1"), F.col("b.stripped_name").alias("name_2"))
-    dots = {k: tfidf.cosine(both, tfidf.vectors(names, terms(F.col("name")), **opts)).withColumnRenamed("cosine", k) for k, terms, opts in (("twc", tfidf.word_terms, {"min_df": 2, "max_df": 0.95}), ("tcc", tfidf.char_terms, {"sublinear": True}))}
-    kept = kept.withColumns(costly()).withColumns({"name_1": F.col("a.stripped_name"), "name_2": F.col("b.stripped_name")})
-    kept = kept.join(dots["twc"], ["name_1", "name_2"], "left").join(dots["tcc"], ["name_1", "name_2"], "left")
-    from ..functions.vocabulary import FEATURES
-
-    return kept.select("s1_id", "cid", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in FEATURES])
+    made = cheap() | costly() | cosines()
+    return paired.select("s1_id", "cid", *[F.coalesce(made[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES])
 
 
 def linear_score(paired: DataFrame) -> DataFrame:

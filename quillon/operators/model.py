@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import FEATURES
+from ..sources.staging import written
 from . import metrics
 
 
@@ -41,11 +42,10 @@ def mine_hard(scored: DataFrame, least: float = 0.20, times: int = 2) -> DataFra
     return scored.where((F.col("label") == 0) & (F.col("p") >= least)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_copy")
 
 
-def refit_on_hard(labelled: DataFrame, least: float = 0.20, **kw) -> PipelineModel:
-    """Fits, adds the negatives that the model likes twice, fits again."""
-    first = fit(labelled, **kw)
-    hard = mine_hard(score(first, labelled), least).select(*labelled.columns)
-    return fit(labelled.unionByName(hard), **kw)
+def refit_on_hard(labelled: DataFrame, least: float = 0.20, first: PipelineModel | None = None, **kw) -> PipelineModel:
+    """Fits (unless a first model is given), adds the negatives that the model likes twice, fits again."""
+    hard = mine_hard(score(first or fit(labelled, **kw), labelled), least).select(*labelled.columns)
+    return fit(written(labelled.unionByName(hard), "hard"), **kw)
 
 
 def tune(scored: DataFrame, s1: DataFrame, truth_pairs: DataFrame, thresholds: list[float], split: str = "validation") -> dict[str, float]:

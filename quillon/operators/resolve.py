@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import DEFAULT_THRESHOLDS
+from ..sources.staging import numbered
 
 
 def threshold(country: Column, thresholds: dict[str, float] | float) -> Column:
@@ -58,5 +59,5 @@ def pairwise(scored: DataFrame, t: float) -> DataFrame:
 
 def chunked(scored: DataFrame, s1: DataFrame, size: int = 5000) -> DataFrame:
     """scored with chunk_id: records by id, `size` to a chunk, for results of a run that resolves chunk by chunk."""
-    chunk = s1.select("s1_id", F.floor((F.row_number().over(Window.orderBy("s1_id")) - 1) / size).alias("chunk_id"))
-    return scored.join(chunk, "s1_id")
+    chunk = numbered(s1.select("s1_id"), "_place", "s1_id")
+    return scored.join(chunk.select("s1_id", F.floor(F.col("_place") / size).alias("chunk_id")), "s1_id")

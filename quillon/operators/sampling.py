@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import numbered
+
 
 def draw(seed: int, *numbers: Column) -> Column:
     """A pseudo-random number from 0 to 999,982 made of integers by a linear rule modulo a prime."""
@@ -41,11 +43,10 @@ def hard_negatives(pairs: DataFrame, truth_pairs: DataFrame, k: int = 10, seed:
 
 def random_negatives(s1: DataFrame, pool: DataFrame, truth_pairs: DataFrame, draws: int = 2, seed: int = 42) -> DataFrame:
     """Records of the same country picked by place; true matches among them are given up, not drawn again."""
-    place = F.row_number().over(Window.partitionBy("country").orderBy("entity_id")) - 1
-    placed = pool.select("country", F.col("entity_id").alias("cid"), place.alias("place"))
-    size = pool.groupBy("country").agg(F.count("*").alias("size"))
+    placed = numbered(pool.select("country", F.col("entity_id").alias("cid")), "place", "country", "cid")
+    size = placed.groupBy("country").agg(F.count("*").alias("size"), F.min("place").alias("first"))
     picks = s1.select(F.col("entity_id").alias("s1_id"), "country").join(size, "country").withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    picks = picks.withColumn("place", draw(seed, number_of("s1_id"), F.col("d")) % F.col("size"))
+    picks = picks.withColumn("place", F.col("first") + draw(seed, number_of("s1_id"), F.col("d")) % F.col("size"))
     return picks.join(placed, ["country", "place"]).select("s1_id", "cid").distinct().join(truth_pairs, ["s1_id", "cid"], "left_anti")
 
 

@@ -1,4 +1,4 @@
-"""TF-IDF vectors as long tables (doc, term, w), and cosines by joining terms."""
+"""TF-IDF: weights fitted once, vectors as long tables (name, term, w) or packed into arrays."""
 
 from __future__ import annotations
 
@@ -25,21 +25,25 @@ def char_terms(c: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(words, lambda w: F.flatten(F.array(*[one(w, n) for n in range(low, high + 1)]))))
 
 
-def vectors(names: DataFrame, terms: Column, min_df: int = 1, max_df: float = 1.0, sublinear: bool = False) -> DataFrame:
-    """names (name, distinct) -> name, term, w: tf * (ln((1 + n) / (1 + df)) + 1), scaled to length 1.  Terms in fewer
-    than min_df names or in more than the share max_df are no terms."""
-    tf = names.select("name", F.explode(terms).alias("term")).groupBy("name", "term").agg(F.count("*").alias("tf"))
+def fit(names: DataFrame, terms: Column, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
+    """names (name, distinct) -> term, idf: ln((1 + n) / (1 + df)) + 1.  Terms in fewer than min_df names or in more than the
+    share max_df are no terms.  What is fitted on one set of names weighs any other."""
     n = F.broadcast(names.agg(F.count("*").alias("n")))  # one row
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(n, F.lit(True)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-    weight = (1 + F.log("tf") if sublinear else F.col("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    w = tf.join(df, "term").select("name", "term", weight.alias("w"))
+    df = names.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = df.join(n, F.lit(True)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
+    return df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def vectors(names: DataFrame, terms: Column, idf: DataFrame, sublinear: bool = False) -> DataFrame:
+    """names (name, distinct) -> name, term, w: tf * idf, scaled to length 1; sublinear: 1 + ln tf in place of tf."""
+    tf = names.select("name", F.explode(terms).alias("term")).groupBy("name", "term").agg(F.count("*").alias("tf"))
+    w = tf.join(idf, "term").select("name", "term", ((1 + F.log("tf") if sublinear else F.col("tf")) * F.col("idf")).alias("w"))
     length = w.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return w.join(length, "name").select("name", "term", (F.col("w") / F.col("length")).alias("w"))
 
 
-def cosine(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
-    """pairs (name_1, name_2) -> with cosine, 0 where no term is shared."""
-    pairs = pairs.select("name_1", "name_2").distinct()
-    a, b = vecs.select(F.col("name").alias("name_1"), "term", F.col("w").alias("w1")), vecs.select(F.col("name").alias("name_2"), "term", F.col("w").alias("w2"))
-    dots = pairs.join(a, "name_1").join(b, ["name_2", "term"]).groupBy("name_1", "name_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("cosine"))
-    return pairs.join(dots, ["name_1", "name_2"], "left").select("name_1", "name_2", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+def packed(vecs: DataFrame, prefix: str) -> DataFrame:
+    """name with its terms, as numbers, and their weights in arrays: what one name has is bounded by its length."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")))
+    both = vecs.groupBy("name").agg(pairs.alias("v"))
+    return both.select("name", F.col("v.t").alias(f"{prefix}_terms"), F.col("v.w").alias(f"{prefix}_weights"))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..operators import blocking, features, metrics, resolve, sampling, tfidf, validate
-from ..sources import fixture, readers, sinks
+from ..operators import blocking, features, metrics, model, records, resolve, sampling, tfidf, validate
+from ..sources import fixture, readers, sinks, staging
+from ..sources.staging import numbered
 from . import duck, linkage
 from .linkage import Linkage
 
@@ -20,16 +19,10 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Registers f(x: Linkage) under a name; sql reads the shared table expressions unless it is marked RAW.  Where sql
-    reads fewer pairs than there are, by lower caps or near numbers, name keeps to its rows and name_whole, which has no
-    sql, covers all."""
+    """Registers f(x: Linkage) under a name; sql reads the shared table expressions unless it is marked RAW."""
 
     def add(f):
-        cut = {"caps": linkage.CAPS} if re.search(r"\b(posts|cand|cheap|sc|kp|prim|won|matches|said|f0|f1|fs)\b", sql or "") else {}
-        cut |= {"near": 12} if re.search(r"\bkp\b", sql or "") else {}
-        QUERIES[name] = lambda spark, sf_dir: f(Linkage(spark, sf_dir, **cut))
-        if cut:
-            QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(Linkage(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(Linkage(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = sql[4:] if sql.startswith("RAW ") else duck.cte() + sql
         return f
@@ -49,9 +42,9 @@ query("sc3_limit_scan", "SELECT entity_id, country FROM ent WHERE entity_id LIKE
 
 
 @query("sc4_needed_or_background", """, o AS (SELECT entity_id, row_number() OVER (PARTITION BY split_part(entity_id, '-', 1) ORDER BY entity_id) AS k FROM ent WHERE entity_id NOT LIKE 'S1-%' AND entity_id NOT IN (SELECT cid FROM tp))
-SELECT entity_id FROM ent WHERE entity_id NOT LIKE 'S1-%' AND entity_id IN (SELECT cid FROM tp) UNION ALL SELECT entity_id FROM o WHERE k <= 50""")
+SELECT entity_id FROM ent WHERE entity_id NOT LIKE 'S1-%' AND entity_id IN (SELECT cid FROM tp) UNION ALL SELECT entity_id FROM o WHERE k <= 25000""")
 def _(x):
-    return readers.needed_or_background(x.ent.where("entity_id not like 'S1-%'"), x.truth_pairs.select(F.col("cid").alias("entity_id")), 50).select("entity_id")
+    return readers.needed_or_background(x.ent.where("entity_id not like 'S1-%'"), x.truth_pairs.select(F.col("cid").alias("entity_id"))).select("entity_id")
 
 
 query("sc6_filtered_scan", "SELECT entity_id, business_name FROM ent WHERE entity_id IN (SELECT cid FROM tp)")(lambda x: x.ent.join(x.truth_pairs.select(F.col("cid").alias("entity_id")), "entity_id", "left_semi").select("entity_id", "business_name"))
@@ -116,21 +109,14 @@ query("a7_reduction", ", n AS (SELECT (SELECT count(*) FROM cand) AS pairs, (SEL
 _CHEAP = {"x1_ntj": "ntj", "x5_nc3": "nc3", "x8_lex": "lex", "x9_acr": "acr", "x10_nsm": "nsm", "x10_mnm": "mnm", "x11_pcm": "pcm", "x11_mpc": "mpc", "x12_ljc": "ljc", "x14_ac3": "ac3", "x16_mad": "mad", "x17_nld": "nld", "x20_ukm": "ukm"}
 for _name, _f in _CHEAP.items():
     query(_name, f"SELECT s1_id, cid, round({_f}, 6) AS value FROM cheap")(lambda x, f=_f: x.paired.select("s1_id", "cid", F.round(features.cheap()[f], 6).alias("value")))
-_COSTLY = {
-    "x2_nts": ("nts", duck.token_sort("a.norm_name"), duck.token_sort("b.norm_name"), False),
-    "x3_nlv": ("nlv", "a.norm_name", "b.norm_name", False),
-    "x13_slv": ("slv", "a.street", "b.street", True),
-    "x15_alv": ("alv", "a.norm_address", "b.norm_address", True),
-    "x18_phs": ("phs", "array_to_string(a.phonetic, ' ')", "array_to_string(b.phonetic, ' ')", True),
-    "x19_cbs": ("cbs", "a.compact_brand", "b.compact_brand", True),
-}
-for _name, (_f, _a, _b, _guard) in _COSTLY.items():
-    _sql = f", st AS (SELECT s1_id, cid, {_a} AS x, {_b} AS y FROM kp JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id) SELECT s1_id, cid, round({duck.indel('x', 'y', _guard)}, 6) AS value FROM st"
-    query(_name, _sql)(lambda x, f=_f: x.costly_paired.select("s1_id", "cid", F.round(features.costly()[f], 6).alias("value")))
-query("x4_indel_native", f", st AS (SELECT s1_id, cid, a.stripped_name AS x, b.stripped_name AS y FROM kp JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id) SELECT s1_id, cid, round({duck.indel('x', 'y', False)}, 6) AS value FROM st")(lambda x: x.costly_paired.select("s1_id", "cid", F.round(S.indel_ratio_native(F.col("a.stripped_name"), F.col("b.stripped_name")), 6).alias("value")))
-query("x21_sequence_ratio")(lambda x: x.costly_paired.select("s1_id", "cid", F.round(S.sequence_ratio(F.col("a.norm_name"), F.col("b.norm_name")), 6).alias("value")))
-query("x23_jaro_winkler", "SELECT s1_id, cid, round(jaro_winkler_similarity(a.norm_name, b.norm_name), 6) AS value FROM kp JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id")(lambda x: x.costly_paired.select("s1_id", "cid", F.round(S.jaro_winkler(F.col("a.norm_name"), F.col("b.norm_name")), 6).alias("value")))
-query("x23_levenshtein", "SELECT s1_id, cid, CAST(levenshtein(a.norm_name, b.norm_name) AS INTEGER) AS value FROM kp JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id")(lambda x: x.costly_paired.select("s1_id", "cid", F.levenshtein("a.norm_name", "b.norm_name").alias("value")))
+# The table of common subsequences is too slow in SQL on all pairs: the tests hold these against a plain one.
+_COSTLY = {"x2_nts": "nts", "x3_nlv": "nlv", "x13_slv": "slv", "x15_alv": "alv", "x18_phs": "phs", "x19_cbs": "cbs"}
+for _name, _f in _COSTLY.items():
+    query(_name)(lambda x, f=_f: x.paired.select("s1_id", "cid", F.round(features.costly()[f], 6).alias("value")))
+query("x4_indel_native")(lambda x: x.paired.select("s1_id", "cid", F.round(S.indel_ratio_native(F.col("a.stripped_name"), F.col("b.stripped_name")), 6).alias("value")))
+query("x21_sequence_ratio")(lambda x: x.paired.select("s1_id", "cid", F.round(S.sequence_ratio(F.col("a.norm_name"), F.col("b.norm_name")), 6).alias("value")))
+query("x23_jaro_winkler", "SELECT s1_id, cid, round(jaro_winkler_similarity(a.norm_name, b.norm_name), 6) AS value FROM cand JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id")(lambda x: x.paired.select("s1_id", "cid", F.round(S.jaro_winkler(F.col("a.norm_name"), F.col("b.norm_name")), 6).alias("value")))
+query("x23_levenshtein", "SELECT s1_id, cid, CAST(levenshtein(a.norm_name, b.norm_name) AS INTEGER) AS value FROM cand JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id")(lambda x: x.paired.select("s1_id", "cid", F.levenshtein("a.norm_name", "b.norm_name").alias("value")))
 _VEC = """, nm AS (SELECT DISTINCT stripped_name AS name FROM rec), {words}, tf AS (SELECT name, term, count(*) AS tf FROM te GROUP BY 1, 2), nn AS (SELECT count(*) AS n FROM nm), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= {low} AND count(*) <= {high} * (SELECT n FROM nn)),
 w0 AS (SELECT name, term, {tf} * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), nn), vec AS (SELECT name, term, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM w0)
 """
@@ -138,31 +124,25 @@ _WORD = _VEC.format(words=r"tk AS (SELECT name, regexp_extract_all(lower(name),
 _CHAR = _VEC.format(words=r"wd AS (SELECT name, ' ' || unnest(list_filter(string_split_regex(lower(name), '\s+'), lambda v: v <> '')) || ' ' AS v FROM nm), te AS (SELECT name, unnest(flatten(list_transform([3, 4, 5], lambda k: list_transform(range(1, greatest(length(v) - k + 2, 1)), lambda i: substr(v, i, k))))) AS term FROM wd)", low=1, high=1.0, tf="(1 + ln(tf))")
 
 
-def _names(x) -> DataFrame:
-    return x.rec.select(F.col("stripped_name").alias("name")).distinct()
-
-
-def _word_vectors(x) -> DataFrame:
-    return tfidf.vectors(_names(x), tfidf.word_terms(F.col("name")), min_df=2, max_df=0.95)
+def _vectors(x, space: str) -> DataFrame:
+    terms, _, opts = features.SPACES[space]
+    return tfidf.vectors(features.names_of(x.rec), terms(F.col("name")), x.idf[space], **opts).select("name", "term", F.round("w", 6).alias("w"))
 
 
-def _char_vectors(x) -> DataFrame:
-    return tfidf.vectors(_names(x), tfidf.char_terms(F.col("name")), sublinear=True)
+query("w1_tfidf_word", _WORD + "SELECT name, term, round(w, 6) AS w FROM vec")(lambda x: _vectors(x, "word"))
+query("w2_tfidf_char", _CHAR + "SELECT name, term, round(w, 6) AS w FROM vec")(lambda x: _vectors(x, "char"))
+_COS = """, pr AS (SELECT DISTINCT a.stripped_name AS name_1, b.stripped_name AS name_2 FROM cand JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id),
+ds AS (SELECT name_1, name_2, sum(p.w * q.w) AS c FROM pr JOIN vec p ON p.name = name_1 JOIN vec q ON q.name = name_2 AND q.term = p.term GROUP BY 1, 2)
+SELECT name_1, name_2, round(coalesce(c, 0.0::DOUBLE), 6) AS cosine FROM pr LEFT JOIN ds USING (name_1, name_2)"""
 
 
-_rounded = lambda v: v.select("name", "term", F.round("w", 6).alias("w"))
-query("w1_tfidf_word", _WORD + "SELECT name, term, round(w, 6) AS w FROM vec")(lambda x: _rounded(_word_vectors(x)))
-query("w2_tfidf_char", _CHAR + "SELECT name, term, round(w, 6) AS w FROM vec")(lambda x: _rounded(_char_vectors(x)))
-_COS = "SELECT DISTINCT a.stripped_name AS name_1, b.stripped_name AS name_2, round(coalesce((SELECT sum(p.w * q.w) FROM vec p JOIN vec q USING (term) WHERE p.name = a.stripped_name AND q.name = b.stripped_name), 0.0::DOUBLE), 6) AS cosine FROM kp JOIN rec a ON s1_id = a.entity_id JOIN rec b ON cid = b.entity_id"
+def _cosine(x, feature: str) -> DataFrame:
+    both = x.weighed_pairs(x.pairs).select(F.col("a.stripped_name").alias("name_1"), F.col("b.stripped_name").alias("name_2"), F.round(features.cosines()[feature], 6).alias("cosine"))
+    return both.distinct()
 
 
-def _cosine(x, vecs) -> DataFrame:
-    near = x.costly_paired.select(F.col("a.stripped_name").alias("name_1"), F.col("b.stripped_name").alias("name_2"))
-    return tfidf.cosine(near, vecs).withColumn("cosine", F.round("cosine", 6))
-
-
-query("x6_twc", _WORD + _COS)(lambda x: _cosine(x, _word_vectors(x)))
-query("x7_tcc", _CHAR + _COS)(lambda x: _cosine(x, _char_vectors(x)))
+query("x6_twc", _WORD + _COS)(lambda x: _cosine(x, "twc"))
+query("x7_tcc", _CHAR + _COS)(lambda x: _cosine(x, "tcc"))
 query("f3_gate", "SELECT s1_id, cid FROM cheap WHERE greatest(ac3, nc3, ntj, cbm, code, hit, acr, greatest(ukm, 0)) >= 0.30")(lambda x: x.paired.where(features.gate() >= 0.30).select("s1_id", "cid"))
 query("x_linear_score", "SELECT s1_id, cid, p FROM sc")(lambda x: features.linear_score(x.paired))
 query("x22_eleven_features", "SELECT s1_id, cid, round(ntj, 6) AS name_jaccard, nsm AS number, mnm AS number_missing, pcm AS code, mpc AS code_missing, mad AS address_missing, round(nld, 6) AS length_gap FROM cheap")(lambda x: x.paired.withColumns(features.cheap()).select("s1_id", "cid", F.round("ntj", 6).alias("name_jaccard"), F.col("nsm").alias("number"), F.col("mnm").alias("number_missing"), F.col("pcm").alias("code"), F.col("mpc").alias("code_missing"), F.col("mad").alias("address_missing"), F.round("nld", 6).alias("length_gap")))
@@ -229,23 +209,57 @@ query("u6_subset", "SELECT count(*) AS outside FROM (SELECT s1_id, cid FROM matc
 
 @query("m1_gbt_score")
 def _(x):
-    from ..operators import model
+    """Every candidate pair of the test split."""
+    return linkage.scores(x, linkage.train(x), "test").select("s1_id", "cid", F.round("p", 6).alias("p"))
 
-    fitted, split = linkage.train(x)
-    test = x.paired.join(split.where("split = 'test'").select("s1_id"), "s1_id", "left_semi")
-    return model.score(fitted, features.features(test)).select("s1_id", "cid", F.round("p", 6).alias("p"))
 
+@query("m2_predict")
+def _(x):
+    """Matches of all records, under thresholds that the validation split gives each country."""
+    fitted = linkage.train(x)
+    return linkage.predict(x, fitted, linkage.tuned(x, fitted)).select("s1_id", "cid", F.round("p", 6).alias("p"), "rank")
 
-@query("m9_stress")
+
+@query("m8_tuned_f05")
+def _(x):
+    """The test split's quality by country (null: all) under those thresholds."""
+    fitted = linkage.train(x)
+    mine = x.split.where("split = 'test'").select("s1_id", "country")
+    found = linkage.predict(x, fitted, linkage.tuned(x, fitted)).join(mine.select("s1_id"), "s1_id", "left_semi")
+    return metrics.macro_by_country(metrics.per_record(mine, found, x.truth_pairs))
+
+
+@query("a16_importance")
 def _(x):
-    from ..operators import model, records
+    return model.importance(linkage.train(x), x.spark).withColumn("share", F.round("share", 6))
 
+
+query("f8_probability_band", "SELECT s1_id, cid, p FROM sc WHERE p >= 0.2::DOUBLE AND p <= 0.35::DOUBLE")(lambda x: x.scored.where("p >= 0.2 and p <= 0.35").select("s1_id", "cid", "p"))
+query("u5_augmented", _HARD + _RANDOM + """, lb AS (SELECT s1_id, cid, 1 AS label FROM tp UNION ALL SELECT s1_id, cid, 0 FROM (SELECT * FROM hard UNION SELECT * FROM rand)),
+mined AS (SELECT lb.* FROM lb JOIN sc USING (s1_id, cid) WHERE label = 0 AND p >= 0.2::DOUBLE) SELECT * FROM lb UNION ALL SELECT * FROM mined UNION ALL SELECT * FROM mined""")(lambda x: _augmented(x))
+
+
+def _augmented(x) -> DataFrame:
+    """Training pairs and, twice over, the negatives that the score likes."""
+    labelled = sampling.training_pairs(x.pairs, _s1e(x), _poole(x), x.truth_pairs)
+    return labelled.unionByName(model.mine_hard(labelled.join(x.scored.select("s1_id", "cid", "p"), ["s1_id", "cid"])).select("s1_id", "cid", "label"))
+
+
+@query("m7_refitted")
+def _(x):
+    """Scores of the test split after a second fit with mined negatives."""
+    again = linkage.train_on_hard(x)
+    return linkage.scores(x, again, "test").select("s1_id", "cid", F.round("p", 6).alias("p"))
+
+
+@query("m9_stress")
+def _(x):
     s = fixture.stress(x.spark)
     side = lambda i, tag: s.select(F.concat(F.lit(f"{tag}-"), "pair").alias("entity_id"), F.col(f"name_{i}").alias("business_name"), F.col(f"address_{i}").alias("business_address"), F.lit("France").alias("country"))
     pairs = s.select(F.concat(F.lit("S1-"), "pair").alias("s1_id"), F.concat(F.lit("S2-"), "pair").alias("cid"), "label")
-    rows = features.features(features.pair_up(pairs, records.derive(side(1, "S1")), records.derive(side(2, "S2"))))
-    fitted, _ = linkage.train(x)
-    return model.score(fitted, rows).join(pairs, ["s1_id", "cid"]).select("s1_id", "label", F.round("p", 6).alias("p"))
+    one, two = (features.weigh(staging.written(records.derive(side(i, tag)), "stress"), x.idf) for i, tag in ((1, "S1"), (2, "S2")))
+    rows = staging.written(features.features(features.pair_up(pairs.select("s1_id", "cid"), one, two)), "stress")
+    return model.score(linkage.train(x), rows).join(pairs, ["s1_id", "cid"]).select("s1_id", "label", F.round("p", 6).alias("p"))
 
 
 @query("m10_validate", """, v AS (SELECT s1_id, row_number() OVER (ORDER BY s1_id) AS k FROM s1),
@@ -255,9 +269,7 @@ UNION ALL SELECT 'bad_prefix', cid FROM i WHERE NOT (cid LIKE 'S1-%' OR cid LIKE
 r AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY what) AS k FROM f)
 SELECT rule, 'error' AS severity, count(*) AS n, string_agg(what, ',' ORDER BY what) FILTER (k <= 3) AS examples FROM r GROUP BY rule""")
 def _(x):
-    from pyspark.sql import Window
-
-    v = x.s1_ids.select("s1_id", F.row_number().over(Window.orderBy("s1_id")).alias("k"))
+    v = numbered(x.s1_ids.select("s1_id"), "_place", "s1_id").select("s1_id", (F.col("_place") + 1).alias("k"))
     ids = lambda *c: F.array(*c)
     good = v.where("k % 10 <> 0").select("s1_id", ids(F.concat(F.lit("S2-"), "k"), F.concat(F.lit("S3-"), "k")).alias("ids"))
     bad = v.where("k % 50 = 1").select("s1_id", ids(F.lit("S2-1"), F.lit("S2-1")))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from ..functions import vocabulary as V
 from ..sources import fixture
 
-CAPS = {"P": 80, "AT": 150, "default": 100}
-
 
 def in_list(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
@@ -64,20 +62,6 @@ def jaccard(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0::DOUBLE END"
 
 
-def lcs(a: str, b: str) -> str:
-    """Rows of the table as lists: matches one further than the last row's, and their running maximum."""
-    row = f"list_transform(range(1, length({b}) + 1), lambda j: CASE WHEN ord({b}[j]) = ch[1] THEN coalesce(prev[j - 1], 0) + 1 ELSE prev[j] END)"
-    step = f"list_transform(range(1, length({b}) + 1), lambda k: list_max(({row})[1:k]))"
-    first = f"list_transform(range(1, length({b}) + 1), lambda j: 0::BIGINT)"
-    chars = f"list_transform(range(1, length({a}) + 1), lambda i: [ord({a}[i])::BIGINT])"
-    return f"coalesce(list_max(list_reduce({chars}, lambda prev, ch: {step}, {first})), 0)"
-
-
-def indel(a: str, b: str, guarded: bool) -> str:
-    same = f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * {lcs(a, b)} / (length({a}) + length({b})) END"
-    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE ELSE {same} END" if guarded else same
-
-
 def token_sort(x: str) -> str:
     return rf"array_to_string(list_sort(list_filter(string_split_regex({x}, '\s+'), lambda w: w <> '')), ' ')"
 
@@ -95,7 +79,7 @@ def cut(c: str, found: str) -> str:
     return f"(substr({c}, 1, strpos({c}, {found}) - 1) || substr({c}, strpos({c}, {found}) + length({found})))"
 
 
-def cte(caps: dict[str, int] = CAPS) -> str:
+def cte(caps: dict[str, int] = V.POSTING_CAPS) -> str:
     return rf"""
 WITH ent AS ({fixture.ENT_SQL.format(part="part")}),
 truth AS ({fixture.TRUTH_SQL.format(part="part")}),
@@ -142,7 +126,6 @@ cheap AS (SELECT c.s1_id, c.cid, a.country, {jaccard("a.sig_tokens", "b.sig_toke
   CASE WHEN a.postcode = '' OR b.postcode = '' THEN 0.0::DOUBLE WHEN a.postcode = b.postcode THEN 1.0::DOUBLE WHEN a.postcode[1:3] = b.postcode[1:3] THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS code,
   CASE WHEN list_has_any(a.house_codes, b.house_codes) OR list_has_any(a.addr_tokens, b.addr_tokens) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit FROM cand c JOIN rec a ON c.s1_id = a.entity_id JOIN rec b ON c.cid = b.entity_id),
 sc AS (SELECT s1_id, cid, country, round(0.4::DOUBLE * ntj + 0.3::DOUBLE * nc3 + 0.15::DOUBLE * ac3 + 0.15::DOUBLE * greatest(nsm, 0.0::DOUBLE), 6) AS p FROM cheap),
-kp AS (SELECT s1_id, cid FROM cand WHERE abs(CAST(split_part(s1_id, '-', 2) AS BIGINT) - CAST(split_part(cid, '-', 2) AS BIGINT)) <= 12),
 prim AS (SELECT * FROM sc WHERE p >= CASE country WHEN 'US' THEN 0.5::DOUBLE WHEN 'India' THEN 0.45::DOUBLE ELSE 0.4::DOUBLE END),
 won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY p DESC, s1_id) AS k FROM prim) WHERE k = 1),
 matches AS (SELECT * FROM (SELECT s1_id, cid, p, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, cid) AS INTEGER) AS rank FROM won) WHERE rank <= 12),

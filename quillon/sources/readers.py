@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import numbered
+
 RECORD = "entity_id string, business_name string, business_address string, country string"
 
 
@@ -55,9 +57,22 @@ def ids_of(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """line, value of a text file (one file, its order kept by the offset in it)."""
-    rows = spark.read.text(path).select("_metadata.file_block_start", F.monotonically_increasing_id().alias("_id"), "value")
-    return rows.select(F.col("_id").alias("line"), "value")
+    """line (from 0, in the order of files and places in them), value: numbered over all parts of a file that is split."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    return numbered(rows, "line", "_file", "_block", "_id").select("line", "value")
+
+
+def found(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Paths below a folder whose name matches a glob, on any file system that Spark reads, in order."""
+    import fnmatch
+
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files, out = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True), []
+    while files.hasNext():
+        path = files.next().getPath()
+        if fnmatch.fnmatch(path.getName(), pattern):
+            out.append(path.toString())
+    return sorted(out)
 
 
 def clean_cell(c) -> "F.Column":

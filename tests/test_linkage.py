@@ -9,7 +9,7 @@ from quillon.plans import catalogue, linkage
 from quillon.sources import readers, sinks
 
 SF = "/root/testdata/sf0.001"
-SOME = "sc4_needed_or_background sc7_ground_truth_parse n4_normalize_name n11_skeleton n15_parse_addr f2_df_cap j2_candidates j4_scored_topk a6_blocking_recall x10_nsm x3_nlv w1_tfidf_word f3_gate m3_resolve m4_resolve_margin m6_train_pairs a4_macro_prf a9_threshold_sweep a18_pair_prf u4_fp_fn_except m10_validate sk1_matching_rows".split()
+SOME = "sc4_needed_or_background sc7_ground_truth_parse n4_normalize_name n11_skeleton n15_parse_addr f2_df_cap j2_candidates j4_scored_topk a6_blocking_recall x10_nsm x6_twc x7_tcc x23_jaro_winkler f8_probability_band u5_augmented m3_resolve_chunked j3_simple_blocking j10_address_overlap w1_tfidf_word f3_gate m3_resolve m4_resolve_margin m6_train_pairs a4_macro_prf a9_threshold_sweep a18_pair_prf u4_fp_fn_except m10_validate sk1_matching_rows".split()
 
 
 @pytest.fixture(scope="module")
@@ -92,8 +92,85 @@ def test_stream_matches_as_a_batch_does(spark, tmp_path):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
 
 
-def test_entry_imports_without_the_corpus_package():
-    import __spark_entry__ as e
-
-    assert set(e.oracle_sql()) <= set(e.queries())
-    assert F is not None
+def test_entry_imports_without_the_corpus_package(tmp_path):
+    """A copy of the repository without the corpus folders."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    there = tmp_path / "copy"
+    shutil.copytree(top, there, ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); assert 'm1_gbt_score' in q and not any(k.startswith('op') or k == 'pipeline' for k in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=there, check=True, env=os.environ | {"PYTHONPATH": str(there)})
+
+
+def test_sinks(spark, tmp_path):
+    import zipfile
+
+    one = lambda f: spark.createDataFrame([(f, 3)], "f05 double, n int")
+    best, book = f"file://{tmp_path}/best", f"file://{tmp_path}/ledger"
+    assert [sinks.keep_best(one(f), best, "f05") for f in (0.5, 0.4, 0.7)] == [True, False, True]
+    assert spark.read.json(best).first().f05 == 0.7
+    for f in (0.5, 0.7):
+        sinks.append_ledger(one(f), book)
+    assert sorted(r.f05 for r in readers.ledger(spark, book).collect()) == [0.5, 0.7]
+    assert sinks.report_json(one(0.5)).first().report == '{"f05":0.5,"n":3}'
+    rows = spark.createDataFrame([(f"S1-{i}", f"S2-{i}") for i in range(20)], "source1_entity_id string, matched_entity_ids string")
+    sinks.write_tsv(rows.repartition(3), f"file://{tmp_path}/tsv")
+    sinks.package(spark, {"matching.tsv": f"file://{tmp_path}/tsv"}, str(tmp_path / "out.zip"))
+    lines = zipfile.ZipFile(tmp_path / "out.zip").read("matching.tsv").decode().splitlines()
+    assert lines[0] == "source1_entity_id\tmatched_entity_ids" and len(lines) == 21
+    assert [p.rsplit("/", 1)[1] for p in readers.found(spark, f"file://{tmp_path}", "*.zip")] == ["out.zip"]
+    assert {r.entity_id for r in readers.ids_of(spark, f"file://{tmp_path}/tsv").collect()} == {f"S1-{i}" for i in range(20)}
+
+
+def test_readers(spark, tmp_path):
+    quoted = tmp_path / "q.tsv"
+    quoted.write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\t"A\tB"\tnan\tUS\nS1-2\tX\t\t\n')
+    assert [tuple(r) for r in readers.records_tsv(spark, str(quoted), quoted=True).orderBy("entity_id").collect()] == [("S1-1", "A\tB", "", "US"), ("S1-2", "X", "", "")]
+    table = tmp_path / "r.csv"
+    table.write_text("id,name,addr,city,phone,type,class\n7,\"'arnie\\\\'s '\",\"1 main st\",`la`,x,y,0\n")
+    got = readers.restaurants_csv(spark, str(table), "S1").first()
+    assert (got.entity_id, got.business_address, got.country) == ("S1-7", "1 main st, la", "US")
+    person = spark.createDataFrame([("rec-5-org", "ann", " ", "3", None, "b st", "town", None, "2000")], "rec_id string, given_name string, surname string, street_number string, address_1 string, address_2 string, suburb string, state string, postcode string")
+    assert tuple(readers.person_records(person, "S1").first()) == ("S1-5", "ann", "3 b st, town, 2000", "AU")
+    many = tmp_path / "lines"
+    spark.range(50).selectExpr("concat('v', id) value").repartition(4).write.text(str(many))
+    got = readers.lines_of(spark, str(many)).collect()
+    assert sorted(r.line for r in got) == list(range(50)) and len({r.value for r in got}) == 50
+
+
+def test_synthetic_sources(spark):
+    from quillon.sources import fixture
+
+    rows, pairs = fixture.noisy_sources(fixture.synthetic(spark, 1200))
+    n = {r.s: r.n for r in rows.selectExpr("split_part(entity_id, '-', 1) s").groupBy("s").agg(F.count("*").alias("n")).collect()}
+    e = {r.n_matches: r.n for r in fixture.synthetic(spark, 1200).groupBy("n_matches").agg(F.count("*").alias("n")).collect()}
+    assert n == {"S1": 1200, "S2": e[1] + e[2] + 350, "S3": e[2] + 350}
+    assert pairs.count() == e[1] + 2 * e[2] and pairs.join(rows.selectExpr("entity_id cid"), "cid", "left_anti").isEmpty()
+    again = fixture.noisy_sources(fixture.synthetic(spark, 1200).repartition(7))[0]
+    assert rows.exceptAll(again).isEmpty()
+    base = rows.where("country = 'France'").limit(200)
+    made = fixture.country_variants(base.select("entity_id", F.col("business_name"), F.lit("5 Rue Haute, Lyon").alias("business_address"))).collect()
+    assert {r.nth for r in made} == {1, 2, 3} and {r.business_address for r in made} == {"5 R. Haute, Lyon", "5 R. Haute, Lyon, France"}
+    assert sum(r.business_name.endswith(tuple(fixture.FORMS)) for r in made) / len(made) > 0.4
+
+
+def test_places_over_several_ranges(spark):
+    from quillon.sources.staging import numbered
+
+    rows = spark.range(1000).selectExpr("cast(id * 7919 % 1000 as string) k").repartition(5)
+    got = {r.k: r.at for r in numbered(rows, "at", "k").collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(got) and sorted(got.values()) == list(range(1000))
+
+
+def test_frequent_keys_are_spread(spark):
+    from quillon.operators import blocking
+
+    left = spark.createDataFrame([(i, k) for i in range(5) for k in "ab"], "x int, k string")
+    right = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(100)], "y int, k string")
+    want = left.join(right, ["k"]).select("x", "y", "k")
+    got = blocking.spread(left, right, ["k"], hot=40, salts=4).select("x", "y", "k")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
