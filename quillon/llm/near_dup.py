@@ -42,6 +42,8 @@ SPREAD, LOCAL, OFTEN, MOST_OFTEN = 1 / 2000, 3, 8, 1 << 20
 #: Sets of a family that is compared as one, sets and bytes of a tile's side, bytes of tiles that one call looks at.
 FAMILY, TILE, TILE_BYTES, BUNDLE_BYTES = 1 << 15, 4096, 24 << 20, 8 << 20
 BROADCAST_IDS = 500_000
+#: Edges that a task turns into stars at a time.
+EDGES = 1 << 18
 
 
 @functools.cache
@@ -349,12 +351,46 @@ def whole_sets(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
     return written(sets_of(docs, reps.join(ids, F.col("set_id") == F.col("i")).select(F.col("rep").alias("doc_id")).distinct()), "near-sets")
 
 
+def contract(batches):
+    """Edges (u, v) to stars (u, v: the smallest node of the component that the task saw); a stretch of EDGES at a time."""
+
+    def stars(held):
+        u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in "uv")
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        above = list(range(len(nodes)))  # a node's parent is never greater than the node
+
+        def top(i):
+            while above[i] != i:
+                above[i] = i = above[above[i]]
+            return i
+
+        for x, y in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
+            x, y = top(x), top(y)
+            above[max(x, y)] = min(x, y)
+        roots = np.array([top(i) for i in range(len(nodes))])
+        own = roots != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[roots[own]])], names=["u", "v"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n > EDGES:
+            yield stars(held)
+            held, n = [], 0
+    if n:
+        yield stars(held)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the component's smallest node) of every node with a link; alternating stars, rounds in the logarithm of
-    the longest chain.  Tables are written between the steps."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges, before = written(edges, "stars"), None
-    while True:
+    """node, root (the component's smallest node) of every node with a link.  Each task turns about EDGES edges into stars
+    first, without a shuffle: one task's stars are the components; those of several meet in alternating stars, in rounds in
+    the logarithm of the longest chain.  Tables are written between the steps."""
+    given = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "stars")
+    tasks = given.count() // EDGES + 1
+    edges, before = written(given.coalesce(tasks).mapInArrow(contract, "u long, v long"), "stars"), None
+    forget(given)
+    while tasks > 1:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
         large = written(both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
@@ -367,7 +403,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    roots = written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v"))).distinct(), "roots")
+    roots = written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", F.col("v").alias("w")).distinct()), "roots")
     forget(edges)
     return roots
 

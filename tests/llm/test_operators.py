@@ -151,6 +151,23 @@ def test_forests_join_what_a_plain_comparison_joins():
         assert [got[x] == got[y] for x, y in pairs] == [top(x) == top(y) for x, y in pairs]
 
 
+@pytest.mark.parametrize("edges", [1 << 18, 7])
+def test_components_of_chains_and_stars(spark, monkeypatch, edges):
+    """One task's stars, and stars of several tasks that meet, against a plain search; repeated edges and loops."""
+    monkeypatch.setattr(near_dup, "EDGES", edges)
+    r = random.Random(8)
+    nodes = [r.randrange(-(2**62), 2**62) for _ in range(60)]
+    links = [(nodes[i], nodes[i + 1]) for i in range(25)] + [(nodes[30], nodes[i]) for i in range(31, 40)]
+    links += [(nodes[40], nodes[41]), (nodes[41], nodes[40]), (nodes[42], nodes[42])]
+    r.shuffle(links)
+    want = {}
+    for group in (nodes[:26], nodes[30:40], nodes[40:42]):
+        want |= dict.fromkeys(group, min(group))
+    got = near_dup.components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()
+    assert {g.node: g.root for g in got} == want and len(got) == len(want)
+    assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_dropping_near_duplicates_loses_nothing_else(spark):
     """Null and shared ids, whole repeated rows, and rows without words."""
     a, b, c = ("".join(f"{x}{i} " for i in range(40)) for x in "abc")
