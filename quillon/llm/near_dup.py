@@ -1,13 +1,14 @@
 """Near-duplicate documents by an exact Jaccard join of word-shingle sets on parity sketches.
 
-Bands.  Sizes are cut into bands such that two sets with similarity >= 3/4 lie in one band or in neighbouring ones.  Group
-g joins band g with itself and with band g + 1; its pairs differ in at most D elements (D = difference(g), about a third
-of a set).  In group g a set is sketched by XOR: hashes of shingles are dealt into blocks and XORed together, and an
-element more or less changes one block, so at most D blocks of a pair differ.
-
-Pigeonhole.  A set shows only its first D + 1 non-empty blocks in one fixed order.  Two similar sets agree on all but D of
-their non-empty blocks, so one that both show is equal (a set with D blocks or fewer shows all it has; should two such
-sets meet, they share a block of their own).  The order puts blocks last whose shingles are all frequent: passages
+Bands.  Band g holds the sizes from 4^g on, below 4^(g+1).  Group g joins the sets of band g (its own) with each other and
+with its visitors, sets of the band below that are large enough to be similar to one of them.  Two similar sets so meet
+in a group that one of them owns.  In group g a set is sketched by XOR: hashes of shingles are dealt into blocks and XORed
+together, and an element more or less changes one block, so at most D blocks of a similar pair differ: D = (a + b) / 7.
+
+Pigeonhole.  A set shows only its first D + 1 non-empty blocks in one fixed order, with the largest D that it can have with
+any set of the group (a third of its size; it shows nothing where that is 0).  Two similar sets agree on all but D of their
+non-empty blocks, so one that both show is equal (a set with D blocks or fewer shows all it has; should two such sets meet,
+they share a block of their own).  The order puts blocks last whose shingles are all frequent: passages
 that many documents share are then shown only by documents made of little else.  Which shingles count as frequent touches
 the cost alone, never the result.
 
@@ -17,17 +18,14 @@ groups go through aggregations and joins of written tables, which adaptive execu
 
 Verification.  First each group's leader is compared with its members: parity sketches rule pairs out whose Hamming
 distance is above 1/7 of their sizes, and whole sets, made again from the documents concerned, decide the rest.  Links make
-components.  Components that groups hold together make families (a family of more than FAMILY sets stays in its groups).  A family's sets travel once, with their sketches, and are compared in tiles; a tile
-gives a forest, at most one row a set, of pairs that sketches do not rule out.  Trees that hold several components are
+components.  Components that groups hold together make families (a family of more than FAMILY sets stays in its groups).
+A family's sets travel once, with their sketches, and are compared in tiles; a tile gives a forest, at most one row a set, of pairs that sketches do not rule out.  Trees that hold several components are
 compared in the same way with whole sets, and these tiles give a forest of links.  A pair inside a component is never
 looked at, so a large family of near copies never becomes all its pairs.  Equal sets are one set from the start.
 """
 
 from __future__ import annotations
 
-import bisect
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,39 +44,36 @@ BROADCAST_IDS = 500_000
 EDGES = 1 << 18
 
 
-@functools.cache
-def bands() -> list[int]:
-    """First sizes of the bands: a band and the next hold every size that can be similar to one in the band."""
-    out = [1, 2]
-    while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, 4 * (out[-1] - 1) // 3 + 1))
-    return out
+def band(n: int) -> int:
+    return (n.bit_length() - 1) // 2
 
 
-def band(n: int) -> int:
-    return bisect.bisect_right(bands(), n) - 1
+def homes(n: int) -> list[int]:
+    """The groups of a set: its own, and the next where it is large enough to be similar to a set there."""
+    own = band(n)
+    return [own, own + 1] if 4 * n // 3 >= 4 ** (own + 1) else [own]
 
 
-def difference(g: int) -> int:
-    """Largest symmetric difference of a similar pair of group g: (a + b) / 7 for similarity 3/4."""
-    a = bands()[g + 1] - 1
-    return (a + max(a, min(4 * a // 3, bands()[g + 2] - 1))) // 7
+def difference(n: int, g: int) -> int:
+    """Largest symmetric difference of a set of n shingles to a similar one in group g: (a + b) / 7 for similarity 3/4."""
+    return (n + min(4 * n // 3, 4 ** (g + 1) - 1)) // 7
 
 
 def blocks(g: int) -> int:
-    return max(2 * bands()[g + 1], 4096)
+    return max(2 * 4 ** (g + 1), 4096)
 
 
 def shown(hashes: np.ndarray, often: np.ndarray, wide: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-    """(keys, are they widespread, is the set of the group's upper band) for the two groups of the set's band.
+    """(keys, are they widespread, is the set a visitor) for the groups of the set.
     often: sorted hashes of frequent shingles, and which of them are widespread."""
-    own, out = band(len(hashes)), []
+    out = []
     rank = np.zeros(len(hashes), np.int8)  # 0 rare, 1 frequent, 2 widespread
     if len(often):
         at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
         rank = np.where(often[at] == hashes, 1 + wide[at], 0).astype(np.int8)
-    for g in (own, own - 1):
-        if g < 0 or g == own - 1 and difference(g) == 0:
+    for g in homes(len(hashes)):
+        most = difference(len(hashes), g) + 1
+        if most == 1:  # only equal sets are similar
             continue
         salt = mix(np.array([g + 1], np.uint64))
         place = mix(hashes + salt) % np.uint64(blocks(g))
@@ -89,13 +84,13 @@ def shown(hashes: np.ndarray, often: np.ndarray, wide: np.ndarray) -> list[tuple
         least = np.minimum.reduceat(rank[order], start)
         full = xor != 0
         key = mix(mix(xor ^ place[start]) + salt)[full]
-        least, most = least[full], difference(g) + 1
+        least = least[full]
         if len(key) > most:
             first = np.lexsort((key, least))[:most]
             key, least = key[first], least[first]
         elif len(key) < most:  # too few blocks for the guarantee: such sets of a group all share one more key
             key, least = np.append(key, mix(salt)), np.append(least, 0)
-        out.append((key, least == 2, g < own))
+        out.append((key, least == 2, g > band(len(hashes))))
     return out
 
 
@@ -173,8 +168,8 @@ def frequent(described: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def show(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """Shown blocks, packed: bucket, wide (are they widespread), keys (48 bits each), owners (places in ids; top bit: upper
-    band), ids.  Widespread blocks are dealt by block and set, others by block."""
+    """Shown blocks, packed: bucket, wide (are they widespread), keys (48 bits each), owners (places in ids; top bit:
+    visitor), ids.  Widespread blocks are dealt by block and set, others by block."""
     known = docs.sparkSession.sparkContext.broadcast(often)  # at most MOST_OFTEN hashes
 
     def pack(keys, owners, wide, ids):
@@ -204,9 +199,9 @@ def show(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], buckets: int) ->
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(i)
-                    for k, w, upper in shown(s, *known.value):
+                    for k, w, visitor in shown(s, *known.value):
                         keys.append(k)
-                        owners.append(np.full(len(k), len(ids) | (0x8000 if upper else 0), np.uint16))
+                        owners.append(np.full(len(k), len(ids) | (0x8000 if visitor else 0), np.uint16))
                         wide.append(w)
                         held += len(k)
                     ids.append(i)
@@ -220,7 +215,7 @@ def show(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], buckets: int) ->
 
 
 def unpack(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """keys, set ids, upper"""
+    """keys, set ids, visitor"""
     owner = np.frombuffer(r["owners"], np.uint16)
     at = owner & np.uint16(0x7FFF)
     n = len(owner)
@@ -228,17 +223,17 @@ def unpack(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, np.frombuffer(r["ids"], np.int64)[at], owner >= np.uint16(0x8000)
 
 
-GROUP = "grp long, leader long, member long, upper boolean, many boolean"
+GROUP = "grp long, leader long, member long, visitor boolean, many boolean"
 
 
 def meet(shown_blocks: DataFrame) -> DataFrame:
     """Groups of different sets that show a block: grp, leader, member, many (are there more than two?), a row for each member
-    but the leader (the set of the lower band with the smallest id).  Groups with the same members are one a bucket, but for
+    but the leader (the group's own set with the smallest id).  Groups with the same members are one a bucket, but for
     widespread blocks."""
 
     def gathered(rows, twice):
-        """key, set id, upper, sorted and distinct; twice: only keys that are there more than once."""
-        key, sid, upper = (np.concatenate(x) for x in zip(*map(unpack, rows)))
+        """key, set id, visitor, sorted and distinct; twice: only keys that are there more than once."""
+        key, sid, visitor = (np.concatenate(x) for x in zip(*map(unpack, rows)))
         if twice:
             order = np.argsort(key, kind="stable")
             key = key[order]
@@ -246,36 +241,36 @@ def meet(shown_blocks: DataFrame) -> DataFrame:
             again[1:] = key[1:] == key[:-1]
             again[:-1] |= again[1:]
             order, key = order[again], key[again]
-            sid, upper = sid[order], upper[order]
-        order = np.lexsort((sid, upper, key))
-        key, sid, upper = key[order], sid[order], upper[order]
+            sid, visitor = sid[order], visitor[order]
+        order = np.lexsort((sid, visitor, key))
+        key, sid, visitor = key[order], sid[order], visitor[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
-        return key[new], sid[new], upper[new]
+        return key[new], sid[new], visitor[new]
 
     def bucket(t: pa.Table) -> pa.Table:
         rows = t.select(["wide", "keys", "owners", "ids"]).to_pylist()
         out = []
         if some := [r for r in rows if r["wide"]]:
-            key, sid, upper = gathered(some, False)
-            out.append(pa.table({"grp": key.view(np.int64), "leader": pa.nulls(len(key), pa.int64()), "member": sid, "upper": upper, "many": np.ones(len(key), bool)}))
+            key, sid, visitor = gathered(some, False)
+            out.append(pa.table({"grp": key.view(np.int64), "leader": pa.nulls(len(key), pa.int64()), "member": sid, "visitor": visitor, "many": np.ones(len(key), bool)}))
         if some := [r for r in rows if not r["wide"]]:
-            key, sid, upper = gathered(some, True)
+            key, sid, visitor = gathered(some, True)
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
             count = np.diff(np.append(start, len(key)))
             with np.errstate(over="ignore"):
                 same = np.add.reduceat(mix(sid.view(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
-            good = np.flatnonzero((count > 1) & ~upper[start])
+            good = np.flatnonzero((count > 1) & ~visitor[start])
             good = np.isin(np.arange(len(start)), good[np.unique(same[good], return_index=True)[1]])
             leads = np.repeat(start, count)
             at = np.repeat(good, count)
             at[start] = False
-            out.append(pa.table({"grp": np.repeat(same, count)[at].view(np.int64), "leader": sid[leads][at], "member": sid[at], "upper": upper[at], "many": np.repeat(count > 2, count)[at]}))
+            out.append(pa.table({"grp": np.repeat(same, count)[at].view(np.int64), "leader": sid[leads][at], "member": sid[at], "visitor": visitor[at], "many": np.repeat(count > 2, count)[at]}))
         return pa.concat_tables(out)
 
     made = written(shown_blocks.groupBy("bucket").applyInArrow(bucket, GROUP), "near-met")
     wide = made.where("leader is null")
-    lead = wide.groupBy("grp").agg(F.min(F.struct("upper", "member")).alias("l"), F.count("*").alias("k")).where("k > 1 and not l.upper")
+    lead = wide.groupBy("grp").agg(F.min(F.struct("visitor", "member")).alias("l"), F.count("*").alias("k")).where("k > 1 and not l.visitor")
     lead = written(lead.select(F.col("grp").alias("g"), F.col("l.member").alias("first"), (F.col("k") > 2).alias("more")), "near-leads")
     wide = wide.join(lead, F.col("grp") == F.col("g")).where("member <> first").select("grp", F.col("first").alias("leader"), "member", F.col("more").alias("many"))
     return made.where("leader is not null").select("grp", "leader", "member", "many").union(wide)

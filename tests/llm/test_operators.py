@@ -179,12 +179,31 @@ def test_dropping_near_duplicates_loses_nothing_else(spark):
 
 
 def test_group_bounds_hold():
+    """Two sizes that can be similar meet in a group that one of them owns, and both show enough blocks there."""
     r = random.Random(0)
-    for _ in range(3000):
+    for _ in range(20_000):
         a = r.randint(1, 5000)
         b = r.randint(a, 4 * a // 3)
-        assert near_dup.band(b) - near_dup.band(a) in (0, 1)
-        assert (a + b) // 7 <= near_dup.difference(near_dup.band(a))
+        met = [g for g in set(near_dup.homes(a)) & set(near_dup.homes(b)) if g in (near_dup.band(a), near_dup.band(b))]
+        assert any((a + b) // 7 <= min(near_dup.difference(a, g), near_dup.difference(b, g)) for g in met)
+
+
+@pytest.mark.parametrize("size", [2, 3, 7, 15, 16, 48, 63, 64, 255, 256, 300])
+def test_similar_sets_show_a_block_together(size):
+    """Pairs at the bound, with frequent shingles among them, on both sides of the bands' borders."""
+    r = np.random.default_rng(size)
+    none, no = np.zeros(0, np.uint64), np.zeros(0, bool)
+    for _ in range(200):
+        a = np.unique(r.integers(1, 2**63, size).astype(np.uint64))
+        gone = int(r.integers(0, size // 4 + 1))
+        more = int(r.integers(0, size // 3 + 1))
+        b = np.unique(np.concatenate([a[gone:], r.integers(1, 2**63, more).astype(np.uint64)]))
+        if not near_dup.similar(a, b) or not gone + more:
+            continue
+        often = np.sort(a[::2])
+        for some in ((none, no), (often, np.arange(len(often)) % 2 == 0)):
+            one, two = ({(int(k), v) for keys, _, v in near_dup.shown(x, *some) for k in keys} for x in (a, b))
+            assert any((k, v) in two and not v or (k, not v) in two for k, v in one)
 
 
 def test_licenses(spark, odd):
