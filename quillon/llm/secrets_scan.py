@@ -7,7 +7,7 @@ map-side combination (a copy leaves a task once); the join back is between writt
 split where one blob belongs to a third of all rows.
 
 A match's place follows from the text between the matches: the pieces that split() leaves and the matches that
-regexp_extract_all() returns interleave, so their lengths add up to code-point offsets.
+regexp_extract_all() returns interleave, so running sums of their lengths, taken by doubling, are code-point offsets.
 """
 
 from __future__ import annotations
@@ -36,6 +36,15 @@ RULE_VERSION = "3"
 GUARD = {"hex": r"[0-9a-f]{24}"}
 
 
+def running(a):
+    """Running sums of an array, by doubling: its length times the logarithm of its length."""
+    return F.aggregate(
+        F.array(*[F.lit(1 << i) for i in range(31)]),
+        a,
+        lambda s, n: F.when(n < F.size(s), F.zip_with(s, F.concat(F.array_repeat(F.lit(0), n), F.slice(s, F.lit(1), F.size(s) - n)), lambda x, y: x + y)).otherwise(s),
+    )
+
+
 def spans(text, kind: str, number: int):
     """Array of (start, rule order, end, kind) of the matches that are long enough, in order; code points, end exclusive."""
     pattern, group, least = RULES[kind]
@@ -46,19 +55,15 @@ def spans(text, kind: str, number: int):
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), kept.alias("key"))
+    lengths = F.transform(parts, lambda x: F.struct((F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("both"), F.length(x["hit"]).alias("hit"), F.length(x["key"]).alias("long")))
     none = F.array().cast("array<struct<start:int,nr:int,end:int,kind:string,long:int>>")
-    walk = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(
-                x["hit"].isNotNull(),
-                F.concat(s["found"], F.array(F.struct((s["at"] + F.length(x["gap"])).alias("start"), F.lit(number).alias("nr"), (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), F.lit(kind).alias("kind"), F.length(x["key"]).alias("long")))),
-            ).otherwise(s["found"]).alias("found"),
-        ),
-        lambda s: F.filter(s["found"], lambda x: x["long"] >= least),
-    )
+
+    def placed(ps):
+        ends = running(F.transform(ps, lambda x: x["both"]))
+        found = F.zip_with(ps, ends, lambda x, end: F.struct((end - x["hit"]).alias("start"), F.lit(number).alias("nr"), end.alias("end"), F.lit(kind).alias("kind"), x["long"].alias("long")))
+        return F.filter(found, lambda x: x["long"] >= least)  # null behind the last match
+
+    walk = F.get(F.transform(F.array(lengths), placed), F.lit(0))  # an array of one binds the lengths, so that they are worked out once
     return F.when(text.rlike(GUARD.get(kind, pattern)), walk).otherwise(none)
 
 
@@ -100,7 +105,7 @@ def find_secrets(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, found: every row, with its spans.
 
     Null and empty texts have no spans; repeated rows each get theirs; an empty table gives an empty result.  Columns but
-    doc_id and text are not looked at.  ledger: where findings of earlier runs are kept; a fresh one where None.
+    doc_id and text are not looked at.  Texts are searched whole; the work grows with their length and n log n of the matches.  ledger: where findings of earlier runs are kept; a fresh one where None.
     """
     rows = update_ledger(docs, ledger or scratch(docs.sparkSession, "ledger"))
     hits = written(rows.where(F.size("found") > 0).select(F.col("blob").alias("_of"), "found"), "secrets")

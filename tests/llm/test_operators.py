@@ -272,6 +272,14 @@ def test_secrets(spark, odd):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_secrets_in_a_text_full_of_them(spark):
+    """100,000 digests and keys in one text, characters of several bytes between them."""
+    body = "".join(f"{hashlib.md5(str(i).encode()).hexdigest()} ü token={i:08d} 日\n" for i in range(50_000))
+    want = sorted([(m.start(), m.end(), "hex") for m in re.finditer(r"[0-9a-f]{24,}", body)] + [(m.start(), m.end(), "assign") for m in re.finditer(r"token=\d{8}", body)])
+    (row,) = secrets_scan.find_secrets(spark.createDataFrame([(1, body)], "doc_id long, text string")).collect()
+    assert [(x.start, x.end, x.kind) for x in row.found] == want and len(want) == 100_000
+
+
 def test_ledger_scans_each_blob_once(spark, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     make = lambda *ts: spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
