@@ -34,4 +34,8 @@ ADDRESS_STOPWORDS = (
 DEFAULT_THRESHOLDS = {"US": 0.980, "India": 0.970, "France": 0.970, "default": 0.970}
 POSTING_CAPS = {"P": 80, "AT": 150, "default": 300}
 FEATURES = "ntj nts nlv nc3 twc tcc lex acr nsm mnm pcm mpc ljc slv ac3 alv mad nld phs cbs ukm".split()
+SIMPLE_STOPWORDS = ("and", "the", "for", "ltd", "pvt", "inc", "corp", "llc")
+DOTTED = r"(?U)\b([a-z])\.(?:\s*([a-z])\.?)+"
+SIMPLE_NUMBER = r"(?U)\b\d{1,6}(?:[a-zA-Z]|bis|ter)?\b"
+SIMPLE_CODE = r"(?U)\b\d{5,6}\b"
 # End of fixed values.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import POSTING_CAPS
-from ..operators import blocking, features, model, records, resolve, sampling
+from ..operators import blocking, features, model, records, resolve, sampling, simple
 from ..sources import fixture, readers, staging
 from ..sources.sinks import match_rows
 
@@ -40,6 +40,11 @@ class Linkage:
     def rec(self) -> DataFrame:
         return self.staged("records", lambda: records.derive(self.ent, ascii_only=True))
 
+    @functools.cached_property
+    def simple(self) -> DataFrame:
+        """All records with the fields of the small feature set."""
+        return self.staged("simple", lambda: simple.derive(self.ent))
+
     @property
     def s1(self) -> DataFrame:
         return self.rec.where("source = 'S1'")
