@@ -38,4 +38,7 @@ SIMPLE_STOPWORDS = ("and", "the", "for", "ltd", "pvt", "inc", "corp", "llc")
 DOTTED = r"(?U)\b([a-z])\.(?:\s*([a-z])\.?)+"
 SIMPLE_NUMBER = r"(?U)\b\d{1,6}(?:[a-zA-Z]|bis|ter)?\b"
 SIMPLE_CODE = r"(?U)\b\d{5,6}\b"
+HOUSE = r"(\d+\s*(?:bis|ter|[a-zA-Z])?)"
+HOUSE_PREFIX = r"\b(?:no\.?|plot|door|bldg)\s*[:#-]?\s*"
+HOUSE_STREET = r"\b(?:rue|road|street|st|ave|avenue|bd|boulevard|lane)\s+[^,]*?\b"
 # End of fixed values.

@@ -39,6 +39,45 @@ def initials(cleaned: Column) -> Column:
     return F.array_join(F.transform(F.slice(long, 1, 5), lambda w: F.substring(w, 1, 1)), "")
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def _parts(c: Column) -> Column:
+    """What stands between commas."""
+    return F.filter(F.transform(F.split(c, ","), _strip), lambda x: x != "")
+
+
+def parse_address(c, style: str = "robust") -> Column:
+    """Struct of number, postcode, street and locality; nulls are empty.
+
+    leading: a number counts at the beginning alone.  keyword: also behind a word for a plot or a door, and behind a word for
+    a street, where it stays in the street.  robust: behind a word for a plot or a door, at the beginning, or at the end of
+    the first part.
+    """
+    whole = _strip(T.text(c))
+    left = _strip(F.regexp_replace(whole, V.SIMPLE_CODE, ""))
+    ways = {"leading": ["lead"], "keyword": ["prefix", "lead", "street"], "robust": ["prefix", "lead", "tail"]}[style]
+    pattern = {"prefix": rf"(?iU){V.HOUSE_PREFIX}{V.HOUSE}\b", "lead": rf"(?iU)^{V.HOUSE}\b", "street": rf"(?iU){V.HOUSE_STREET}{V.HOUSE}\b", "tail": rf"(?iU)\b{V.HOUSE}\s*$"}
+    first = F.coalesce(F.get(_parts(left), F.lit(0)), F.lit(""))
+    number = {w: F.lower(_strip(F.regexp_extract(first if w == "tail" else left, pattern[w], 1))) for w in ways}
+    without = {
+        "prefix": F.array_join(F.split(left, pattern["prefix"], 2), ""),
+        "lead": F.btrim(F.array_join(F.split(left, pattern["lead"], 2), ""), F.lit(", ")),
+        "street": left,
+        "tail": F.array_join(F.concat(F.array(F.regexp_replace(first, pattern["tail"], "")), F.slice(_parts(left), F.lit(2), F.size(_parts(left)))), ", "),
+    }
+    hit = [number[w] != "" for w in ways]
+    choose = lambda values, rest: F.coalesce(*[F.when(h, v) for h, v in zip(hit, values)], rest)
+    parts, n = _parts(choose([without[w] for w in ways], left)), F.size(_parts(choose([without[w] for w in ways], left)))
+    return F.struct(
+        choose(number.values(), F.lit("")).alias("number"),
+        F.regexp_extract(whole, V.SIMPLE_CODE, 0).alias("postcode"),
+        F.lower(F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(1))), ", ")).alias("street"),
+        F.when(n > 1, F.lower(F.element_at(parts, -1))).otherwise("").alias("locality"),
+    )
+
+
 def derive(rows: DataFrame) -> DataFrame:
     """Records (entity_id, business_name, business_address) with the columns that the small set compares.  Nulls are empty."""
     rows = rows.select("entity_id", clean(F.col("business_name")).alias("clean_name"), clean(F.col("business_address")).alias("clean_address"), T.text("business_address").alias("_address"))

@@ -147,6 +147,8 @@ query("f3_gate", "SELECT s1_id, cid FROM cheap WHERE greatest(ac3, nc3, ntj, cbm
 query("x_linear_score", "SELECT s1_id, cid, p FROM sc")(lambda x: features.linear_score(x.paired))
 # Sequence ratios have no SQL; the tests hold all columns of all pairs against plain Python.
 query("x22_eleven_features")(lambda x: simple.eleven(features.pair_up(x.pairs, x.simple.where("entity_id LIKE 'S1-%'"), x.simple.where("entity_id NOT LIKE 'S1-%'"))))
+for _style in ("leading", "keyword", "robust"):
+    query(f"n24_parse_{_style}")(lambda x, s=_style: x.ent.select("entity_id", simple.parse_address("business_address", s).alias("a")).select("entity_id", "a.*"))
 query("n22_simple_fields")(lambda x: x.simple.select("entity_id", "clean_name", "clean_address", listed("name_tokens").alias("name_tokens"), listed("address_tokens").alias("address_tokens"), "initials", "number", "code"))
 
 # Windows and resolution ----------------------------------------------------------------------------------------------

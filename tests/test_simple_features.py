@@ -92,5 +92,25 @@ def test_eleven_features(spark):
         assert list(r)[2:] == pytest.approx(want, abs=1e-6), (r, a, b)
 
 
+ADDRESSES = {
+    "Rue de la Paix 188, Bordeaux": {"leading": ("", "", "rue de la paix 188", "bordeaux"), "keyword": ("188", "", "rue de la paix 188", "bordeaux"), "robust": ("188", "", "rue de la paix", "bordeaux")},
+    "R. de la Paix 188": {"leading": ("", "", "r. de la paix 188", ""), "keyword": ("", "", "r. de la paix 188", ""), "robust": ("188", "", "r. de la paix", "")},
+    "105 Main St, Springfield 12345": {s: ("105", "12345", "main st", "springfield") for s in ("leading", "keyword", "robust")},
+    "14 BIS rue X, 75002 Paris": {s: ("14 bis", "75002", "rue x", "paris") for s in ("leading", "keyword", "robust")},
+    "Plot No. 7a, Sector 9, Delhi, 110001": {"leading": ("", "110001", "plot no. 7a, sector 9", "delhi"), "keyword": ("7a", "110001", "plot, sector 9", "delhi"), "robust": ("7a", "110001", "plot, sector 9", "delhi")},
+    " 560001 ": {s: ("", "560001", "", "") for s in ("leading", "keyword", "robust")},
+    "Old Road 5, Plot 6, Town": {"leading": ("", "", "old road 5, plot 6", "town"), "keyword": ("6", "", "old road 5", "town"), "robust": ("6", "", "old road 5", "town")},
+    "5, 6, 7": {s: ("5", "", "6", "7") for s in ("leading", "keyword", "robust")},
+    "": {s: ("", "", "", "") for s in ("leading", "keyword", "robust")},
+    None: {s: ("", "", "", "") for s in ("leading", "keyword", "robust")},
+}
+
+
+@pytest.mark.parametrize("style", ["leading", "keyword", "robust"])
+def test_address_parsers(spark, style):
+    rows = spark.createDataFrame([(a,) for a in ADDRESSES], "a string").select("a", simple.parse_address("a", style).alias("p")).collect()
+    assert {r.a: tuple(r.p) for r in rows} == {a: want[style] for a, want in ADDRESSES.items()}
+
+
 def test_simple_fields_of_nothing(spark):
     assert simple.derive(spark.createDataFrame([], "entity_id string, business_name string, business_address string")).where(F.lit(True)).count() == 0
