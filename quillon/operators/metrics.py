@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def ratio(n, of) -> Column:
+    """n / of as SQL doubles divide: 0 / 0 is NaN and n / 0 infinite, where Spark's own division would be an error."""
+    n, of = n.cast("double"), of.cast("double")
+    by_none = F.when((n == 0) | F.isnan(n), float("nan")).otherwise(F.signum(n) * float("inf"))
+    return F.when(of == 0, F.when(n.isNotNull(), by_none)).otherwise(F.try_divide(n, of))
+
+
 def per_record(s1: DataFrame, pred: DataFrame, truth_pairs: DataFrame, *by: str) -> DataFrame:
     """s1_id (and other columns of s1), p, r, f05 for every record of s1; a record without true matches scores 1 if nothing
     is predicted, else 0.  by: columns of pred and s1 that part the predictions."""
@@ -73,9 +80,9 @@ def fn_reason() -> Column:
 
 
 def multi_claims(scored: DataFrame, t: float) -> DataFrame:
-    """Candidates that several records claim at t or above."""
+    """Candidates that several records claim at t or above; without any claim the rate is NaN, as in SQL."""
     n = scored.where(F.col("p") >= t).groupBy("cid").agg(F.count_distinct("s1_id").alias("k"))
-    return n.agg(F.count("*").alias("claimed"), F.count_if(F.col("k") > 1).alias("multi")).withColumn("rate", F.round(F.col("multi") / F.col("claimed"), 6))
+    return n.agg(F.count("*").alias("claimed"), F.count_if(F.col("k") > 1).alias("multi")).withColumn("rate", F.round(ratio(F.col("multi"), F.col("claimed")), 6))
 
 
 def describe_counts(pairs: DataFrame) -> DataFrame:

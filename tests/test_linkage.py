@@ -174,3 +174,17 @@ def test_frequent_keys_are_spread(spark):
     want = left.join(right, ["k"]).select("x", "y", "k")
     got = blocking.spread(left, right, ["k"], hot=40, salts=4).select("x", "y", "k")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_measures_without_any_claim_or_prediction(spark):
+    """As the twins divide: 0 / 0 is NaN."""
+    none = spark.createDataFrame([], "s1_id string, cid string, p double")
+    truth = spark.createDataFrame([("S1-1", "S2-1")], "s1_id string, cid string")
+    assert repr(tuple(metrics.multi_claims(none, 0.5).first())) == "(0, 0, nan)"
+
+
+def test_twins_divide_as_the_measures(spark):
+    values = [(0, 0), (3, 0), (-3, 0), (1, 4), (None, 0), (0, None)]
+    got = [r[0] for r in spark.createDataFrame(values, "n long, of long").select(metrics.ratio(F.col("n"), F.col("of"))).collect()]
+    want = [duckdb.sql(f"SELECT {'NULL' if n is None else n}::BIGINT / {'NULL' if d is None else d}::BIGINT").fetchall()[0][0] for n, d in values]
+    assert repr(got) == repr(want)
