@@ -52,11 +52,11 @@ def best_threshold(swept: DataFrame, *by: str) -> DataFrame:
 
 
 def pair_level(pred: DataFrame, truth_pairs: DataFrame, beta: float = 0.5) -> DataFrame:
-    """tp, fp, fn and precision, recall, F of pairs."""
+    """tp, fp, fn and precision, recall, F of pairs; NaN where nothing is predicted, as in SQL."""
     both = pred.select("s1_id", "cid").distinct().withColumn("_p", F.lit(1)).join(truth_pairs.withColumn("_t", F.lit(1)), ["s1_id", "cid"], "full_outer")
     n = both.agg(F.count_if(F.col("_p").isNotNull() & F.col("_t").isNotNull()).alias("tp"), F.count_if(F.col("_t").isNull()).alias("fp"), F.count_if(F.col("_p").isNull()).alias("fn"))
-    p, r, b2 = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / (F.col("tp") + F.col("fn")), beta * beta
-    return n.select("tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round((1 + b2) * p * r / (b2 * p + r), 6).alias("f"))
+    p, r, b2 = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn")), beta * beta
+    return n.select("tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio((1 + b2) * p * r, b2 * p + r), 6).alias("f"))
 
 
 def bands(scored: DataFrame, edges: list[float]) -> DataFrame:

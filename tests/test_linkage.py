@@ -181,6 +181,9 @@ def test_measures_without_any_claim_or_prediction(spark):
     none = spark.createDataFrame([], "s1_id string, cid string, p double")
     truth = spark.createDataFrame([("S1-1", "S2-1")], "s1_id string, cid string")
     assert repr(tuple(metrics.multi_claims(none, 0.5).first())) == "(0, 0, nan)"
+    assert repr(tuple(metrics.pair_level(none, truth).first())) == "(0, 0, 1, nan, 0.0, nan)"
+    assert repr(tuple(metrics.pair_level(truth.withColumn("cid", F.lit("S2-2")), truth).first())) == "(0, 1, 1, 0.0, 0.0, nan)"
+    assert tuple(metrics.pair_level(truth, truth).first()) == (1, 0, 0, 1.0, 1.0, 1.0)
 
 
 def test_twins_divide_as_the_measures(spark):
