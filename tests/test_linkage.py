@@ -191,3 +191,42 @@ def test_twins_divide_as_the_measures(spark):
     got = [r[0] for r in spark.createDataFrame(values, "n long, of long").select(metrics.ratio(F.col("n"), F.col("of"))).collect()]
     want = [duckdb.sql(f"SELECT {'NULL' if n is None else n}::BIGINT / {'NULL' if d is None else d}::BIGINT").fetchall()[0][0] for n, d in values]
     assert repr(got) == repr(want)
+
+
+def _records_with_keys(seed):
+    """Ids, some there twice, with keys; a few records have many, one key is in most, and copies of key sets abound."""
+    import random
+
+    r = random.Random(seed)
+    rows = lambda tag, n: [(f"{tag}-{r.randrange(n)}", k) for _ in range(n) for k in r.choice([["AT:a"], ["AT:a", "AT:b"], ["AT:a", "N:1", None], [f"AT:{c}" for c in r.sample("abcdefghij", r.randint(0, 9))], [f"N:{r.randrange(40)}"]])]
+    return rows("S1", 120), rows("S2", 200)
+
+
+@pytest.mark.parametrize("limits", [{}, {"most": 3, "chunk": 2, "cell": 7}, {"most": 12, "chunk": 5, "cell": 50}])
+def test_pairs_are_shown_once_at_their_first_key(spark, limits):
+    from quillon.operators import blocking
+
+    rows = _records_with_keys(5)
+    sets = [{i: {k for j, k in side if j == i and k} for i, _ in side} for side in rows]
+    one, two = (spark.createDataFrame(side, "id string, key string") for side in rows)
+    shared = {(a, b): x & y for a, x in sets[0].items() for b, y in sets[1].items()}
+    got = [tuple(r) for r in blocking.linked(one, two, **limits).collect()]
+    assert sorted(got) == sorted(p for p, k in shared.items() if k)
+    got = [tuple(r) for r in blocking.linked(one, two, blocking._number_or_two_tokens, blocking._pair_keys, blocking._overlapping, **limits).collect()]
+    want = sorted(p for p, k in shared.items() if any(x[0] == "N" for x in k) or sum(x[0] == "A" for x in k) >= 2)
+    assert sorted(got) == want and want
+
+
+@pytest.mark.parametrize("name", ["j10_address_overlap"])
+def test_no_pairs_are_shuffled(spark, name):
+    """Uncapped pairs are neither brought together nor grouped."""
+    plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 2
+
+
+def test_address_overlap_against_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.01/part.parquet'")
+    for name in ("j10_address_overlap",):
+        want = sorted(con.execute(f"SELECT s1_id, cid FROM ({catalogue.ORACLES[name]})").fetchall())
+        assert sorted(tuple(r) for r in catalogue.queries()[name](spark, "/root/testdata/sf0.01").collect()) == want
