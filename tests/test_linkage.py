@@ -217,16 +217,16 @@ def test_pairs_are_shown_once_at_their_first_key(spark, limits):
     assert sorted(got) == want and want
 
 
-@pytest.mark.parametrize("name", ["j10_address_overlap"])
+@pytest.mark.parametrize("name", ["j10_address_overlap", "j3_simple_blocking"])
 def test_no_pairs_are_shuffled(spark, name):
     """Uncapped pairs are neither brought together nor grouped."""
     plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 2
 
 
-def test_address_overlap_against_sql(spark):
+def test_simple_blocking_and_address_overlap_against_sql(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.01/part.parquet'")
-    for name in ("j10_address_overlap",):
+    for name in ("j3_simple_blocking", "j10_address_overlap"):
         want = sorted(con.execute(f"SELECT s1_id, cid FROM ({catalogue.ORACLES[name]})").fetchall())
         assert sorted(tuple(r) for r in catalogue.queries()[name](spark, "/root/testdata/sf0.01").collect()) == want
