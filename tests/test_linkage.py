@@ -217,13 +217,22 @@ def test_pairs_are_shown_once_at_their_first_key(spark, limits):
     assert sorted(got) == want and want
 
 
-@pytest.mark.parametrize("name", ["j10_address_overlap", "j3_simple_blocking"])
+@pytest.mark.parametrize("name", ["j10_address_overlap", "j3_simple_blocking", "j5_rule_blocking"])
 def test_no_pairs_are_shuffled(spark, name):
     """Uncapped pairs are neither brought together nor grouped."""
     plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 2
 
 
+def test_rules_against_plain_loops(spark):
+    """Soundex, prefix and suburb of every pair of records, by plain loops."""
+    x = linkage.Linkage(spark, SF)
+    one, two = (readers.text_variant(x.ent.where(f"entity_id {y} 'S1-%'")).collect() for y in ("like", "not like"))
+    alike = lambda a, b: any(a[c] and a[c] == b[c] for c in ("sx1", "sx2", "prefix3", "suburb"))
+    got = [tuple(r) for r in catalogue.queries()["j5_rule_blocking"](spark, SF).collect()]
+    assert sorted(got) == sorted((a.entity_id, b.entity_id) for a in one for b in two if alike(a, b))
+
+
 def test_simple_blocking_and_address_overlap_against_sql(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.01/part.parquet'")
