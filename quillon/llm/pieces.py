@@ -16,6 +16,11 @@ RUN = re.compile(r"\s (?:\s|\Z)")
 CUT = re.compile(r"(?<!\s)(?= )|(?= \S)")
 
 
+#: Finer cuts inside a part, for the byte-level pattern alone (`'s|..| ?\\p{L}+| ?\\p{N}+| ?other+|\\s+(?!\\S)|\\s+`): between a Latin
+#: letter or digit and ASCII punctuation but the apostrophe, before a line end, and after a single one before a letter.
+#: The characters are named one by one, so that no two Unicode versions can differ on them.
+FINE = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-~À-ÖØ-öø-ÿ])(?=\n)|(?<=[!-~À-ÖØ-öø-ÿ]\n)(?=[A-Za-zÀ-ÖØ-öø-ÿ])")
+
 #: Caches of this worker process, which outlive a task: (kind, digest of the vocabulary) -> cache.
 KEPT: dict = {}
 
@@ -28,11 +33,47 @@ def kept(key: tuple, make: Callable):
     return KEPT[key]
 
 
+class Recent(dict):
+    """At most 2 * half entries: where one generation is full the one before it goes, and what is used comes along."""
+
+    def __init__(self, half: int):
+        self.half, self.before = half, {}
+
+    def __missing__(self, key):
+        got = self.before.get(key)
+        if got is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.half:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class PieceCache:
-    """Text -> payload bytes, by parts.  encode(list of parts) -> list of bytes; keep: parts remembered at most."""
+    """Text -> payload bytes, by parts.  encode(list of parts) -> list of bytes; keep: parts remembered at most; fine: where
+    a part that is not remembered may be cut again."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], keep: int = 400_000, longest: int = 40, fine: re.Pattern | None = None):
+        self.encode, self.longest, self.fine, self.seen = encode, longest, fine, Recent(keep // 2)
+
+    def remember(self, parts: list[str], ids: list[bytes]) -> None:
+        for p, g in zip(parts, ids):
+            if len(p) <= self.longest:
+                self.seen.put(p, g)
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], keep: int = 400_000, longest: int = 40):
-        self.encode, self.keep, self.longest, self.seen = encode, keep, longest, {}
+    def encoded(self, parts: list[str]) -> list[bytes]:
+        """Of distinct parts.  With fine cuts, pieces of a part are encoded once and remembered as well."""
+        if self.fine is None:
+            return self.encode(parts)
+        cut = [[p] if p[1:].isalpha() else self.fine.split(p) for p in parts]
+        got = {x: self.seen[x] if len(c) > 1 else None for c in cut for x in c}
+        new = [x for x, g in got.items() if g is None]
+        got.update(zip(new, self.encode(new)))
+        self.remember(*zip(*((x, got[x]) for x in dict.fromkeys(x for c in cut if len(c) > 1 for x in c))) if any(len(c) > 1 for c in cut) else ([], []))
+        return [got[c[0]] if len(c) == 1 else b"".join([got[x] for x in c]) for c in cut]
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -40,12 +81,11 @@ class PieceCache:
         if RUN.search(text):
             return b"".join(self.encode([p for p in CUT.split(text) if p]))
         head, *rest = text.split(" ")
-        got = list(map(self.seen.get, rest))
+        rest = [" " + p for p in rest]
+        got = list(map(self.seen.__getitem__, rest))
         if None in got:
             new = list(dict.fromkeys(p for p, g in zip(rest, got) if g is None))
-            found = dict(zip(new, self.encode([" " + p for p in new])))
+            found = dict(zip(new, self.encoded(new)))
             got = [found[p] if g is None else g for p, g in zip(rest, got)]
-            if len(self.seen) + len(new) > self.keep:
-                self.seen.clear()
-            self.seen.update((p, g) for p, g in found.items() if len(p) <= self.longest)
+            self.remember(found.keys(), found.values())
         return b"".join([*(self.encode([head]) if head else ()), *got])

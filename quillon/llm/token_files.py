@@ -12,6 +12,7 @@ counted, so lost executors and repeated tasks leave the result whole.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from array import array
@@ -22,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, scratch, text_of, tokenizer_file, written
-from .pieces import PieceCache, kept
+from .pieces import FINE, PieceCache, kept
 
 END = 0
+#: Parts that a worker remembers: about 200 MB.
+KEEP = 1_000_000
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,6 +159,13 @@ class Shard:
         return None if offset[0] < 0 else self.payload(int(offset[0]), int(length[0]))
 
 
+def byte_level(spec: str) -> bool:
+    """Whether a tokenizer cuts texts by the byte-level pattern and nothing else, so that pieces.FINE holds."""
+    t = json.loads(spec)
+    pre = t.get("pre_tokenizer") or {}
+    return not t.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+
+
 def library_encoder(spec: str, wide: bool):
     """Parts -> id bytes with the tokenizers library; special tokens' strings are ordinary text."""
     from tokenizers import Tokenizer
@@ -188,7 +198,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int = END, wide
         name = f"part-{shard:05d}-{uuid.uuid4().hex[:12]}"
         for b in batches:
             if cache is None:
-                cache = kept(("ids", wide, zlib.crc32(spec.value.encode())), lambda: PieceCache(library_encoder(spec.value, wide)))
+                cache = kept(("ids", wide, zlib.crc32(spec.value.encode())), lambda: PieceCache(library_encoder(spec.value, wide), KEEP, fine=FINE if byte_level(spec.value) else None))
                 writer = ShardWriter(folder, name, wide)
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 writer.add(doc_id, cache(text) + stop)

@@ -567,3 +567,22 @@ def test_shingles_of_long_texts_are_those_of_short_ones(monkeypatch):
     whole = S.shingle_sets([text])[0]
     monkeypatch.setattr(S, "LONGEST", 500)
     assert (S.shingle_sets([text])[0] == whole).all() and len(whole) > 2000
+
+
+def test_finer_cuts_and_a_small_cache_leave_ids_as_they_are():
+    """Pieces of parts that are new are encoded alone; what is in use outlives a full generation."""
+    from quillon.llm import pieces
+
+    spec = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    assert token_files.byte_level(spec)
+    whole, sent = token_files.library_encoder(spec, False), []
+    cache = PieceCache(lambda parts: sent.extend(parts) or whole(parts), keep=60, fine=pieces.FINE)
+    r = random.Random(3)
+    texts = ["".join(r.choice("aB9.,\n'!_é²ñ*|$ \t-“日́\x1c") for _ in range(r.randint(0, 30))) for _ in range(4000)]
+    assert [cache(t) for t in texts] == whole(texts)
+    assert len(cache.seen) + len(cache.seen.before) <= 60
+    sent.clear()
+    cache = PieceCache(lambda parts: sent.extend(parts) or whole(parts), keep=60, fine=pieces.FINE)
+    for t in ["x zebra", "x zebra.", "x zebra,", "x zebra.\nzebra", *(f"x zebra w{i}q" for i in range(200))]:
+        assert cache(t) == whole([t])[0]
+    assert sent.count(" zebra") == 1
