@@ -5,8 +5,11 @@ scores are linear in features of the whole text, and logistic loss on feature di
 The decision threshold is the quantile of the scores that leaves out the share of bad documents among the labels, class
 counts weighing the sample.  The published score is moved so that the threshold is 0.3.
 
-The model is fitted on SAMPLE labelled rows of each class (the first by a hash of doc_id): a bounded sample, whose
-features alone come to the driver.  Scoring is narrow: no shuffle.
+Up to SAMPLE labelled rows of each class are fitted on the driver, on pairs drawn from all of them.  More are fitted where
+they lie: all labelled rows, dealt by hash into groups of about GROUP rows of the larger class, in which every good row meets
+every bad one; rows of the smaller class go to several groups where a group would have less than LEAST of them.  Only sums come
+to the driver, and the threshold is narrowed down by counts of all scores.  Features are shuffled, never texts; scoring is
+narrow: no shuffle.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, text_of
+from .common import arrow_rows, read, text_of, written
 
-#: Labelled rows of each class, preference pairs drawn from them, weight decay, and the score at the threshold.
+#: Labelled rows of each class that the driver fits, preference pairs drawn from them, weight decay, and the score at the threshold.
 SAMPLE, PAIRS, DECAY, AT = 5000, 100_000, 1e-3, 0.3
+#: Rows of a group, least rows of its smaller class, and bins of a round of narrowing.
+GROUP, LEAST, BINS = 128, 32, 4096
 BYTES = np.zeros(256, np.int64)  # 1 lower, 2 upper, 3 digit, 4 space, 5 other ASCII
 BYTES[97:123], BYTES[65:91], BYTES[48:58] = 1, 2, 3
 BYTES[[9, 10, 11, 12, 13, 32]] = 4
@@ -103,23 +108,102 @@ def fit(x: np.ndarray, good: np.ndarray, share_bad: float, pairs: int = PAIRS) -
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """docs (doc_id, text), labels (doc_id, quality) -> model.  Rows without a label teach nothing."""
+    """docs (doc_id, text), labels (doc_id, quality) -> model.  Rows without a label teach nothing.  sample: labelled rows of
+    a class up to which the driver fits; every labelled row counts in any case."""
     labels = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     counts = {r.quality: r["count"] for r in labels.groupBy("quality").count().collect()}
-    first = [labels.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
-    chosen = F.broadcast(first[0].union(first[1]).groupBy("doc_id").agg(F.max("quality").alias("quality")))  # 2 * sample rows at most
-    rows = docs.select("doc_id", text_of(docs).alias("text")).join(chosen, "doc_id")
+    if not counts.get(0) or not counts.get(1):
+        return NEUTRAL
+    share_bad, few = counts[0] / sum(counts.values()), max(counts.values()) <= sample
+    chosen = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = docs.select("doc_id", text_of(docs).alias("text")).where(F.col("doc_id").isNotNull())
+    if few:
+        rows = rows.join(F.broadcast(chosen), "doc_id")  # 2 * sample rows at most
 
     def task(batches):
         for b in batches:
             x = [features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(x, pa.list_(pa.float64()))], names=["quality", "x"])
-
-    got = rows.mapInArrow(task, "quality int, x array<double>").collect()
-    if not got:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), pa.array(x, pa.list_(pa.float64()))], names=[*(c for c in b.schema.names if c != "text"), "x"])
+
+    out = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"] + ["x array<double>"])
+    rows = rows.mapInArrow(task, out)
+    if not few:
+        return fit_all(written(rows.join(chosen, "doc_id"), "quality-rows"), share_bad)
+    got = sorted((r.quality, r.x) for r in rows.select("quality", "x").collect())
+    return fit(np.array([x for _, x in got]), np.array([q == 1 for q, _ in got]), share_bad) if got else NEUTRAL
+
+
+def pair_sums(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Pairs, gradient and curvature of the loss over every good row against every bad one."""
+    p = 1 / (1 + np.exp(np.clip((good @ w)[:, None] - (bad @ w)[None, :], -500, 500)))  # chance that the pair is lost
+    q = p * (1 - p)
+    across = good.T @ q @ bad
+    curve = (good.T * q.sum(1)) @ good + (bad.T * q.sum(0)) @ bad - across - across.T
+    return np.concatenate([[p.size], good.T @ p.sum(1) - bad.T @ p.sum(0), curve.ravel()])
+
+
+def fit_all(rows: DataFrame, share_bad: float) -> Model:
+    """The model of all rows (doc_id, quality, x), which stay where they are."""
+    k = len(NAMES)
+    x = [F.col("x")[i] for i in range(k)]
+    n = rows.agg(F.count_if(F.col("quality") == 0).alias("n0"), F.count_if(F.col("quality") == 1).alias("n1"), F.array(*map(F.avg, x)).alias("mean"), F.array(*map(F.stddev_pop, x)).alias("scale")).first()
+    if not n.n0 or not n.n1:
         return NEUTRAL
-    got = sorted((r.quality, r.x) for r in got)
-    return fit(np.array([x for _, x in got]), np.array([q == 1 for q, _ in got]), counts.get(0, 0) / sum(counts.values()))
+    mean, scale = np.array(n.mean), np.array(n.scale) + 1e-6
+    groups, rarer = math.ceil(max(n.n0, n.n1) / GROUP), int(n.n1 < n.n0)
+    copies = min(groups, math.ceil(groups * LEAST / min(n.n0, n.n1)))
+    times = F.when(F.col("quality") == rarer, copies).otherwise(1)
+    dealt = rows.select("quality", "x", F.pmod(F.xxhash64("doc_id", "x"), F.lit(groups)).alias("_at"), F.explode(F.sequence(F.lit(0), times - 1)).alias("_copy"))
+    dealt = dealt.groupBy(((F.col("_at") + F.col("_copy")) % groups).alias("_group")).agg(*(F.sort_array(F.collect_list(F.when(F.col("quality") == q, F.col("x")))).alias(a) for a, q in (("good", 1), ("bad", 0))))
+    dealt = written(dealt.select("good", "bad"), "quality-groups")
+    z = lambda v: np.clip((v - mean) / scale, -6, 6)
+
+    def sums(w):
+        def task(batches):
+            total = np.zeros(1 + k + k * k)
+            for b in batches:
+                for good, bad in zip(b.column("good"), b.column("bad")):
+                    if len(good) and len(bad):
+                        total += pair_sums(*(z(side.values.flatten().to_numpy().reshape(-1, k)) for side in (good, bad)), w)
+            yield pa.RecordBatch.from_pydict({"s": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+        got = np.array(sorted(r.s for r in dealt.mapInArrow(task, "s array<double>").collect())).sum(0)
+        return got[1 : k + 1] / got[0], got[k + 1 :].reshape(k, k) / got[0]
+
+    w = np.zeros(k)
+    with arrow_rows(rows.sparkSession, 4 * GROUP * 8 * k):
+        for _ in range(30):
+            slope, curve = sums(w)
+            step = np.linalg.solve(curve + DECAY * np.eye(k), slope - DECAY * w)
+            w += step
+            if np.abs(step).max() < 1e-6:
+                break
+
+    def strength(batches):
+        for b in batches:
+            v = b.column("x").flatten().to_numpy().reshape(-1, k)
+            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(z(v) @ w)], names=["quality", "s"])
+
+    scored = written(rows.select("quality", "x").mapInArrow(strength, "quality int, s double"), "quality-strengths")
+    return Model(tuple(mean), tuple(scale), tuple(w), threshold(scored, share_bad, share_bad / n.n0, (1 - share_bad) / n.n1))
+
+
+def threshold(scored: DataFrame, share: float, bad: float, good: float) -> float:
+    """Halfway from the first strength s up to which the rows weigh `share` to the next one; weights of a row by quality."""
+    ends = scored.agg(F.min("s").alias("lo"), F.max("s").alias("hi")).first()
+    lo, hi, below = ends.lo, ends.hi, 0.0
+    while lo < hi:
+        bin_ = F.least(F.floor((F.col("s") - lo) / (hi - lo) * BINS), F.lit(BINS - 1))
+        got = scored.where((F.col("s") >= lo) & (F.col("s") <= hi)).groupBy(bin_.alias("bin")).agg(F.count_if(F.col("quality") == 0).alias("n0"), F.count_if(F.col("quality") == 1).alias("n1"), F.min("s").alias("lo"), F.max("s").alias("hi")).collect()  # BINS rows at most
+        for r in sorted(got):
+            lo, hi, mass = r.lo, r.hi, r.n0 * bad + r.n1 * good
+            if below + mass >= share * (1 - 1e-9):
+                break
+            below += mass
+        else:
+            lo = hi
+    after = scored.where(F.col("s") > lo).agg(F.min("s")).first()[0]
+    return lo if after is None else (lo + after) / 2
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

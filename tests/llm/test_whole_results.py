@@ -157,3 +157,24 @@ def test_quality_against_plain_ranking(spark, corpus):
     assert [g[:2] for g in got] == [v[:2] for v in want]
     assert np.allclose([g[2] for g in got], [v[2] for v in want], atol=2e-6)
     assert all(r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_quality_of_many_labels_is_fitted_on_all_of_them(spark, monkeypatch):
+    """More rows than the driver fits: pairs of whole groups by loops, the threshold over all strengths."""
+    r = random.Random(4)
+    rows = [(i, 0 if i % 9 == 0 else 1, " ".join(r.choice(["word", "Other", "x", "12", "|", "--", "line\n"]) for _ in range(r.randint(1, 40))) + ("$" * r.randint(0, 9) if i % 9 == 0 else "")) for i in range(900)]
+    docs, labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string"), spark.createDataFrame([(i, q) for i, q, _ in rows], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "GROUP", 1000)  # one group: every good row against every bad one
+    model = quality.learn(docs, labels, sample=20)
+    f, good = np.array([quality.features(t) for *_, t in rows]), np.array([q == 1 for _, q, _ in rows])
+    mean, scale = f.mean(0), f.std(0) + 1e-6
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale)
+    z, w = np.clip((f - mean) / scale, -6, 6), np.array(model.weights)
+    d = (z[good][:, None, :] - z[~good][None, :, :]).reshape(-1, len(w))
+    assert np.abs(d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - quality.DECAY * w).max() < 1e-6
+    s = z @ w
+    below, share = (s < model.threshold), (~good).mean()
+    assert below.mean() >= share * (1 - 1e-6) and s[below].max() < model.threshold < s[~below].min()
+    assert (s < s[below].max() - 1e-9).mean() < share
+    monkeypatch.setattr(quality, "GROUP", 50)  # many groups, the rarer class in several
+    assert np.corrcoef(s, z @ np.array(quality.learn(docs, labels, sample=20).weights))[0, 1] > 0.98
