@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, text_of, tokenizer_file
+from .common import give_back, read, text_of, tokenizer_file
 from .pieces import PieceCache, kept
 
 #: Characters of text that leave a task together.
@@ -198,6 +198,8 @@ def encode_docs(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = Fals
                         columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(every), np.int32))))
                     yield pa.RecordBatch.from_arrays(columns, names=[*keep, *own])
                     start, n, sha, back, every, held = row + 1, [], [], [], [], 0
+                    columns = None
+                    give_back()
 
     return docs.mapInArrow(task, out)
 

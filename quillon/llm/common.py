@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .pieces import KEPT
+
 #: The white space of the contracts, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
+#: Bytes of a row of text that Arrow batches reckon with: about 1,000 rows a batch.
+ROW = 32 << 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,6 +64,30 @@ def arrow_rows(spark: SparkSession, row_bytes: int, most_bytes: int = 32 << 20):
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """Memory that a Python worker has freed, but that Arrow and the C library (glibc) would keep, goes back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(task: Callable) -> Callable:
+    """An Arrow task for workers that live on from stage to stage: caches that other operators left in its worker go before it,
+    and memory is given back after each batch."""
+
+    def run(batches):
+        KEPT.clear()
+        for made in task(batches):
+            yield made
+            del made
+            give_back()
+        give_back()
+
+    return run
+
+
 def fresh(columns: list[str], name: str) -> str:
     """name, longer where columns have it."""
     while name.lower() in {c.lower() for c in columns}:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read, written
+from .common import ROW, arrow_rows, fresh, lean, read, written
 
 DELETE = b" \t\n\x0b\x0c\r"
 LEAST, MOST, MASK = 512, 16_384, np.uint32(0x7FF << 21)
@@ -79,7 +79,7 @@ def collides(docs: DataFrame, key: int, size: int) -> bool:
                         contents.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(contents, pa.binary())], names=["id", "content"])
 
-    found = docs.select("text").mapInArrow(task, "id binary, content binary")
+    found = docs.select("text").mapInArrow(lean(task), "id binary, content binary")
     return not found.groupBy("id", "content").count().groupBy("id").count().where("count > 1").isEmpty()
 
 
@@ -95,7 +95,7 @@ def recipes(docs: DataFrame, key: int, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_points", "row_hash")), pa.array(sha, pa.string()), pa.array(recipe, pa.binary())], names=["doc_id", "n_points", "row_hash", "text_sha256", "recipe"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_points"), row_hash().alias("row_hash"), "text")
-    return rows.mapInArrow(task, "doc_id long, n_points long, row_hash long, text_sha256 string, recipe binary")
+    return rows.mapInArrow(lean(task), "doc_id long, n_points long, row_hash long, text_sha256 string, recipe binary")
 
 
 def row_hash():
@@ -111,10 +111,11 @@ def decisions(docs: DataFrame, size: int = 16) -> DataFrame:
     size: bytes an identifier has (small ones only serve to test collisions).
     """
     key = 0
-    while collides(docs, key, size):
-        key, size = key + 1, min(size + 1, 64)
-    rows = recipes(docs, key, size)
-    alike = written(rows.groupBy("recipe", "doc_id", "n_points", "row_hash", "text_sha256").agg(F.count("*").alias("times")), "recipes")
+    with arrow_rows(docs.sparkSession, ROW):
+        while collides(docs, key, size):
+            key, size = key + 1, min(size + 1, 64)
+        rows = recipes(docs, key, size)
+        alike = written(rows.groupBy("recipe", "doc_id", "n_points", "row_hash", "text_sha256").agg(F.count("*").alias("times")), "recipes")
     rank = F.struct((-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("row_hash").alias("d"))
     groups = alike.groupBy(F.col("recipe").alias("of")).agg(F.sum("times").alias("size"), F.min(rank).alias("first"))
     groups = written(groups.where("size > 1"), "recipe-groups")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, forget, fresh, read, written
+from .common import ROW, arrow_rows, forget, fresh, give_back, lean, read, written
 from .shingles import fold, mix, parity, portions, set_id, shingle_sets
 
 #: Share of the documents from which a shingle is widespread; times that one must be seen in a stretch, and in all, to be
@@ -142,7 +142,7 @@ def describe(docs: DataFrame) -> DataFrame:
         yield end(held)
 
     rows = docs.select(F.col("doc_id").cast("long"), text_hash().alias("row_hash"), "text")
-    return rows.mapInArrow(task, "doc_id long, row_hash long, n_shingles long, set_id long, sketch binary, often binary")
+    return rows.mapInArrow(lean(task), "doc_id long, row_hash long, n_shingles long, set_id long, sketch binary, often binary")
 
 
 def text_hash():
@@ -211,7 +211,7 @@ def show(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], buckets: int) ->
         if held:
             yield pack(keys, owners, wide, ids)
 
-    return docs.select("text").mapInArrow(task, "bucket int, wide boolean, keys binary, owners binary, ids binary")
+    return docs.select("text").mapInArrow(lean(task), "bucket int, wide boolean, keys binary, owners binary, ids binary")
 
 
 def unpack(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,6 +249,7 @@ def meet(shown_blocks: DataFrame) -> DataFrame:
         return key[new], sid[new], visitor[new]
 
     def bucket(t: pa.Table) -> pa.Table:
+        give_back()  # what the bucket before has left
         rows = t.select(["wide", "keys", "owners", "ids"]).to_pylist()
         out = []
         if some := [r for r in rows if r["wide"]]:
@@ -291,7 +292,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 seen.update(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["set_id", "hashes"])
 
-    return texts.mapInArrow(task, "set_id long, hashes binary")
+    return texts.mapInArrow(lean(task), "set_id long, hashes binary")
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -465,6 +466,7 @@ def joined(tiles: DataFrame, payload: DataFrame) -> DataFrame:
     whole = "hashes" in payload.columns
 
     def bundle(t: pa.Table) -> pa.Table:
+        give_back()
         unit, i, j, s, n, root, part = (t[c].to_numpy() for c in ("unit", "i", "j", "s", "n", "root", "part"))
         hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["payload"]]
         order, found = np.lexsort((j, i, unit)), []
@@ -518,6 +520,11 @@ def rest(groups: DataFrame, pairs: DataFrame, roots: DataFrame, sketches: DataFr
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, row_hash, n_shingles, set_id), and sets with copies or links: of (their id), component_id, and first,
     the row of the component that comes first (id null, id, row hash)."""
+    with arrow_rows(docs.sparkSession, ROW):
+        return _linked(docs)
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     described = written(describe(docs), "near-described")
     rows = described.where("n_shingles is not null")
     n_docs, n_all = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()

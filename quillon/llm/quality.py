@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, read, text_of, written
+from .common import arrow_rows, lean, read, text_of, written
 
 #: Labelled rows of each class that the driver fits, preference pairs drawn from them, weight decay, and the score at the threshold.
 SAMPLE, PAIRS, DECAY, AT = 5000, 100_000, 1e-3, 0.3
@@ -126,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), pa.array(x, pa.list_(pa.float64()))], names=[*(c for c in b.schema.names if c != "text"), "x"])
 
     out = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"] + ["x array<double>"])
-    rows = rows.mapInArrow(task, out)
+    rows = rows.mapInArrow(lean(task), out)
     if not few:
         return fit_all(written(rows.join(chosen, "doc_id"), "quality-rows"), share_bad)
     got = sorted((r.quality, r.x) for r in rows.select("quality", "x").collect())
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = model.probability(x)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p, pa.float64()), pa.array((p >= AT).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.mapInArrow(task, out)
+    return docs.mapInArrow(lean(task), out)
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
@@ -234,7 +234,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([features(t or "") for t in b.column("text").to_pylist()]).reshape(-1, len(NAMES))
             yield b.filter(pa.array(model.probability(x) >= AT))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(lean(task), docs.schema)
 
 
 def fold():

@@ -586,3 +586,33 @@ def test_finer_cuts_and_a_small_cache_leave_ids_as_they_are():
     for t in ["x zebra", "x zebra.", "x zebra,", "x zebra.\nzebra", *(f"x zebra w{i}q" for i in range(200))]:
         assert cache(t) == whole([t])[0]
     assert sent.count(" zebra") == 1
+
+
+@pytest.mark.parametrize("operator", [near_dup.describe, lambda docs: near_dup.show(docs, (np.zeros(0, np.uint64), np.zeros(0, bool)), 4), lambda docs: exact_dedup.recipes(docs, 0, 16), lambda docs: quality.keep_good(docs, quality.NEUTRAL)])
+def test_workers_drop_the_caches_of_other_operators(spark, monkeypatch, operator):
+    """The pipeline was stopped at 3005 MB of an executor: its workers still held the encoder's ids of parts while they looked
+    for near copies."""
+    import pyarrow as pa
+
+    from quillon.llm import pieces
+
+    docs = spark.createDataFrame([(i, f"one two three four five six {i}") for i in range(9)], "doc_id long, text string")
+    tasks, kind = [], type(docs)
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema, *a: tasks.append(f) or self)
+    operator(docs)
+    pieces.kept(("another operator",), dict)
+    n = len(docs.toArrow())
+    batch = docs.toArrow().append_column("row_hash", pa.array(range(n), pa.int64())).append_column("n_points", pa.array(range(n), pa.int64())).combine_chunks().to_batches()[0]
+    assert tasks and sum(b.num_rows for b in tasks[0](iter([batch])))
+    assert not pieces.KEPT
+
+
+def test_texts_come_to_workers_in_small_batches(spark, monkeypatch):
+    """Batches of 10,000 whole texts, and what they left behind, took some 60 MB of every worker."""
+    key, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", [], near_dup.written
+    docs = spark.createDataFrame([(i, f"one two three four five six {i}") for i in range(9)], "doc_id long, text string")
+    for module in (near_dup, exact_dedup):
+        monkeypatch.setattr(module, "written", lambda df, name: seen.append((name, int(spark.conf.get(key)))) or plain(df, name))
+    assert near_dup.near_duplicates(docs).count() == exact_dedup.exact_dedup(docs).count() == 9
+    assert {n for name, n in seen if name in ("near-described", "near-met", "recipes")} == {1024}
+    assert spark.conf.get(key) == "10000"
