@@ -9,7 +9,11 @@ inside a longer part.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space between white space and white space or the end: cutting at every space would be wrong there.
 RUN = re.compile(r"\s (?:\s|\Z)")
@@ -21,6 +25,9 @@ CUT = re.compile(r"(?<!\s)(?= )|(?= \S)")
 #: The characters are named one by one, so that no two Unicode versions can differ on them.
 FINE = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-~À-ÖØ-öø-ÿ])(?=\n)|(?<=[!-~À-ÖØ-öø-ÿ]\n)(?=[A-Za-zÀ-ÖØ-öø-ÿ])")
 
+#: Characters of text that are looked at together.
+STRETCH = 8 << 20
+
 #: Caches of this worker process, which outlive a task: (kind, digest of the vocabulary) -> cache.
 KEPT: dict = {}
 
@@ -81,11 +88,44 @@ class PieceCache:
         if RUN.search(text):
             return b"".join(self.encode([p for p in CUT.split(text) if p]))
         head, *rest = text.split(" ")
-        rest = [" " + p for p in rest]
-        got = list(map(self.seen.__getitem__, rest))
+        return b"".join([*(self.encode([head]) if head else ()), *self.found([" " + p for p in rest])])
+
+    def found(self, parts: list[str]) -> list[bytes]:
+        """Of parts, remembered or not."""
+        got = list(map(self.seen.__getitem__, parts))
         if None in got:
-            new = list(dict.fromkeys(p for p, g in zip(rest, got) if g is None))
+            new = list(dict.fromkeys(p for p, g in zip(parts, got) if g is None))
             found = dict(zip(new, self.encoded(new)))
-            got = [found[p] if g is None else g for p, g in zip(rest, got)]
+            got = [found[p] if g is None else g for p, g in zip(parts, got)]
             self.remember(found.keys(), found.values())
-        return b"".join([*(self.encode([head]) if head else ()), *got])
+        return got
+
+    def each(self, texts: list[str]) -> Iterator[bytes]:
+        """Of each text what a call gives.  Stretches of about STRETCH characters are split and their words numbered in Arrow, so
+        that a word is looked up once a stretch, and put together there as well."""
+        some, held = [], 0
+        for t in texts:
+            some.append(t)
+            held += len(t)
+            if held >= STRETCH:
+                yield from self.stretch(some)
+                some, held = [], 0
+        yield from self.stretch(some)
+
+    def stretch(self, texts: list[str]) -> Iterator[bytes]:
+        odd = [RUN.search(t) is not None for t in texts]
+        heads, rests = [], []
+        for t, o in zip(texts, odd):
+            head, space, rest = ("", "", "") if o else t.partition(" ")
+            heads.append(head)
+            rests.append(rest if space else None)
+        first = dict.fromkeys(h for h in heads if h)
+        first = dict(zip(first, self.encode(list(first)))) if first else {}
+        lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        words = lists.values.dictionary_encode()
+        ids = pa.array(self.found([" " + w for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]), pa.large_binary()).take(words.indices)
+        place, data = ids.buffers()[1:]
+        data = memoryview(data or b"")
+        place = np.frombuffer(place, np.int64)[lists.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        for t, o, head, a, b in zip(texts, odd, heads, place, place[1:]):
+            yield self(t) if o else first.get(head, b"") + data[a:b]

@@ -200,8 +200,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int = END, wide
             if cache is None:
                 cache = kept(("ids", wide, zlib.crc32(spec.value.encode())), lambda: PieceCache(library_encoder(spec.value, wide), KEEP, fine=FINE if byte_level(spec.value) else None))
                 writer = ShardWriter(folder, name, wide)
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                writer.add(doc_id, cache(text) + stop)
+            for doc_id, payload in zip(b.column(0).to_pylist(), cache.each(b.column(1).to_pylist())):
+                writer.add(doc_id, payload + stop)
         if writer:
             n, ids = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "n_docs": [n], "n_ids": [ids]})
