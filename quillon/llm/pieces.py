@@ -25,6 +25,14 @@ CUT = re.compile(r"(?<!\s)(?= )|(?= \S)")
 #: The characters are named one by one, so that no two Unicode versions can differ on them.
 FINE = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-~À-ÖØ-öø-ÿ])(?=\n)|(?<=[!-~À-ÖØ-öø-ÿ]\n)(?=[A-Za-zÀ-ÖØ-öø-ÿ])")
 
+#: FINE as replacements one after the other, which put MARK where it cuts (texts that hold MARK go another way).
+MARK = "\x01"
+MARKED = [
+    (r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])", rf"\1{MARK}\2"),
+    (r"([!-~À-ÖØ-öø-ÿ])\n", f"\\1{MARK}\n"),
+    (rf"{MARK}\n([A-Za-zÀ-ÖØ-öø-ÿ])", f"{MARK}\n{MARK}\\1"),
+]
+
 #: Characters of text that are looked at together.
 STRETCH = 8 << 20
 
@@ -113,7 +121,7 @@ class PieceCache:
         yield from self.stretch(some)
 
     def stretch(self, texts: list[str]) -> Iterator[bytes]:
-        odd = [RUN.search(t) is not None for t in texts]
+        odd = [RUN.search(t) is not None or MARK in t for t in texts]
         heads, rests = [], []
         for t, o in zip(texts, odd):
             head, space, rest = ("", "", "") if o else t.partition(" ")
@@ -123,9 +131,33 @@ class PieceCache:
         first = dict(zip(first, self.encode(list(first)))) if first else {}
         lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
         words = lists.values.dictionary_encode()
-        ids = pa.array(self.found([" " + w for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]), pa.large_binary()).take(words.indices)
+        ids = self.together(words.dictionary).take(words.indices)
         place, data = ids.buffers()[1:]
         data = memoryview(data or b"")
         place = np.frombuffer(place, np.int64)[lists.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
         for t, o, head, a, b in zip(texts, odd, heads, place, place[1:]):
             yield self(t) if o else first.get(head, b"") + data[a:b]
+
+    def together(self, words: pa.Array) -> pa.Array:
+        """Of distinct words, each after a space.  Where fine cuts hold they are made in Arrow, and pieces are looked up, not words."""
+        text = lambda x: pa.scalar(x, pa.large_string())
+        words = pc.binary_join_element_wise(text(" "), words, text(""))
+        if self.fine is None:
+            return pa.array(self.found(words.to_pylist()), pa.large_binary())
+        for pattern, put in MARKED:
+            words = pc.replace_substring_regex(words, pattern, put)
+        lists = pc.split_pattern(words, MARK)
+        pieces = lists.values.dictionary_encode()
+        parts = pieces.dictionary.to_pylist()
+        got = list(map(self.seen.__getitem__, parts))
+        if None in got:
+            new = [p for p, g in zip(parts, got) if g is None]
+            found = self.encode(new)
+            self.remember(new, found)
+            found = iter(found)
+            got = [next(found) if g is None else g for g in got]
+        ids = pa.array(got, pa.large_binary()).take(pieces.indices)
+        if not len(ids):
+            return pa.array([], pa.large_binary())
+        place = np.frombuffer(ids.buffers()[1], np.int64)[lists.offsets.to_numpy()]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(place), ids.buffers()[2]])

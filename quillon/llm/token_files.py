@@ -26,8 +26,10 @@ from .common import read, scratch, text_of, tokenizer_file, written
 from .pieces import FINE, PieceCache, kept
 
 END = 0
-#: Parts that a worker remembers: about 200 MB.
+#: Pieces that a worker remembers: about 200 MB.
 KEEP = 1_000_000
+#: Parts that the library is given end to end.
+JOIN = 1000
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,13 +169,41 @@ def byte_level(spec: str) -> bool:
 
 
 def library_encoder(spec: str, wide: bool):
-    """Parts -> id bytes with the tokenizers library; special tokens' strings are ordinary text."""
+    """Parts -> id bytes with the tokenizers library; special tokens' strings are ordinary text.
+
+    Where texts are cut at spaces (byte_level), parts that begin with a space and no more white space are given to the
+    library end to end, JOIN at a time; the bytes that ids stand for tell where each part ends.
+    """
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(spec)
     t.encode_special_tokens = True
     kind = "I" if wide else "H"
-    return lambda parts: [array(kind, e.ids).tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)]
+    alone = lambda parts: [array(kind, e.ids).tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)]
+    if not byte_level(spec):
+        return alone
+    vocab = t.get_vocab(with_added_tokens=False)  # a character a byte
+    size = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+    size[list(vocab.values())] = [len(x) for x in vocab]
+
+    def joined(parts):
+        raw = "".join(parts)
+        ids = np.array(t.encode_batch_fast([raw], add_special_tokens=False)[0].ids, np.int64)
+        ends, upto = np.cumsum(list(map(len, parts) if raw.isascii() else (len(p.encode()) for p in parts))), np.cumsum(size[ids])
+        at = np.searchsorted(upto, ends)
+        if len(ids) == 0 or at[-1] != len(ids) - 1 or (upto[at] != ends).any():
+            return alone(parts)
+        data, cuts = ids.astype(np.dtype(kind)).tobytes(), ((at + 1) * array(kind).itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def encode(parts):
+        spaced = [p[0:1] == " " and len(p) > 1 and not p[1].isspace() for p in parts]
+        those = [p for p, s in zip(parts, spaced) if s]
+        got = iter([g for i in range(0, len(those), JOIN) for g in joined(those[i : i + JOIN])])
+        rest = iter(alone([p for p, s in zip(parts, spaced) if not s]))
+        return [next(got if s else rest) for s in spaced]
+
+    return encode
 
 
 MANIFEST = "shard int, name string, n_docs long, n_ids long"

@@ -616,3 +616,27 @@ def test_texts_come_to_workers_in_small_batches(spark, monkeypatch):
     assert near_dup.near_duplicates(docs).count() == exact_dedup.exact_dedup(docs).count() == 9
     assert {n for name, n in seen if name in ("near-described", "near-met", "recipes")} == {1024}
     assert spark.conf.get(key) == "10000"
+
+
+def test_pieces_of_a_stretch_are_the_librarys_and_are_looked_up_once():
+    from array import array
+
+    from quillon.llm import pieces
+
+    spec = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    whole = Tokenizer.from_str(spec)
+    whole.encode_special_tokens = True
+    draw = random.Random(3)
+    texts = ["", " ", "a  ", " a\n b", "don't. 'S\n\nX\x01,y  z\n", "é,É\nÀb.\n!c\x85d \u3000e \x1cf <|endoftext|>,a", "日本 語,  x 漢"]
+    texts += ["".join(draw.choice("ab1,.'\n  \t éÀ×\x01漢\x1c<|\x85") for _ in range(draw.randint(0, 30))) for _ in range(2000)]
+    cache = PieceCache(token_files.library_encoder(spec, False), 1000, fine=pieces.FINE)
+    assert list(cache.each(texts)) == [array("H", whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+
+    asked = []
+    encode = token_files.library_encoder(spec, False)
+    cache = PieceCache(lambda parts: asked.extend(parts) or encode(parts), 1000, fine=pieces.FINE)
+    list(cache.each(["x word, word. word;\nword"]))
+    assert sorted(asked) == sorted(["x", " word", ",", ".", ";", "\n", "word"])  # not the words with what follows them
+    asked.clear()
+    list(cache.each(["x word.\nword, word;"]))
+    assert asked == ["x"]
