@@ -224,6 +224,29 @@ def test_no_pairs_are_shuffled(spark, name):
     assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 2
 
 
+def _dealt(spark, pairs):
+    """Rows that go into the two shuffles of a plan of pairs."""
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    of = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows
+    counts = [of(spark._jsparkSession, n).count() for n in nodes(pairs._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "RepartitionByExpression"]
+    assert len(counts) == 2
+    return sum(counts)
+
+
+def test_a_frequent_token_is_cut_on_both_sides(spark):
+    """3,000 by 3,000 records, each a class of its own, share one token: nine cells of three by three, so each row goes to three."""
+    from quillon.operators import blocking
+
+    side = lambda tag: spark.createDataFrame([(f"{tag}-{i}", "US", [f"{tag}{i}", "x"], [], "") for i in range(3000)], "entity_id string, country string, sig_tokens array<string>, acronyms array<string>, norm_name string")
+    pairs = blocking.block_simple(side("S1"), side("S2"))
+    assert _dealt(spark, pairs) == 2 * 3 * 3000
+    assert pairs.count() == 3000 * 3000
+
+
 def test_rules_against_plain_loops(spark):
     """Soundex, prefix and suburb of every pair of records, by plain loops."""
     x = linkage.Linkage(spark, SF)
