@@ -247,6 +247,19 @@ def test_a_frequent_token_is_cut_on_both_sides(spark):
     assert pairs.count() == 3000 * 3000
 
 
+def test_a_frequent_suburb_is_cut_on_both_sides(spark, monkeypatch):
+    """As the token; and where cells grow, a row still meets no more than a small cell's pairs at a time."""
+    from quillon.operators import blocking
+
+    side = lambda tag, n: spark.createDataFrame([(f"{tag}-{i}", f"{tag}{i}", "", "", "x") for i in range(n)], "entity_id string, sx1 string, sx2 string, prefix3 string, suburb string")
+    assert _dealt(spark, blocking.block_rules(side("S1", 3000), side("S2", 3000))) == 2 * 3 * 3000
+    monkeypatch.setattr(blocking, "TASKS", 1)
+    keys = lambda tag, n: spark.createDataFrame([(f"{tag}-{i}", k) for i in range(n) for k in (f"{tag}{i}", "x")], "id string, key string")
+    pairs = blocking.linked(keys("S1", 1), keys("S2", 300), cell=640)
+    assert _dealt(spark, pairs) == 30 + 300
+    assert pairs.count() == 300
+
+
 def test_rules_against_plain_loops(spark):
     """Soundex, prefix and suburb of every pair of records, by plain loops."""
     x = linkage.Linkage(spark, SF)
